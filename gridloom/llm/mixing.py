@@ -35,8 +35,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """_source, source_size, target. Sources share the sum of all sizes by weight; a target stops at `most` times its source's size.
 
     Reshared until none is above, the targets are min(most * size, level * weight). With sources in order of most * size /
-    weight, the level is (total - caps so far) / (weights left) at the first source whose cap is not below it. The window is
-    over the table of sources, one row each.
+    weight, the level is (total - caps so far) / (weights left) at the first source whose cap is not below it; it falls from
+    there on, so the first is the largest. The windows are over the table of sources, one row each.
     """
     by = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
     # 'n' is the null source and comes last; the others begin with 'v' and are in order of their bytes, which is that of code points
@@ -52,7 +52,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0))).alias("_weights"),
     )
     level = F.col("_left").cast("double") / F.col("_weights").cast("double")
-    level = F.min(F.when(level <= F.col("_ratio"), level)).over(everything)
+    level = F.max(F.when(level <= F.col("_ratio"), level)).over(everything)
     by = by.withColumn("_level", level)
     target = F.when(F.col("_ratio") < F.col("_level"), F.col("_cap").cast("double")).otherwise(F.col("_level") * F.col("_w"))
     return by.select("_source", "source_size", target.alias("target"))
@@ -124,7 +124,7 @@ levels AS (
   FROM ratios WINDOW b AS (ORDER BY r, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (
   SELECT s, source_size, CASE WHEN r < level THEN CAST(cap AS DOUBLE) ELSE level * w END AS target
-  FROM (SELECT *, min(CASE WHEN l <= r THEN l END) OVER () AS level FROM levels)),
+  FROM (SELECT *, max(CASE WHEN l <= r THEN l END) OVER () AS level FROM levels)),
 budgets AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goal),
 cells AS (
   SELECT *, CAST(floor(target) AS BIGINT) - whole * source_size AS budget,
