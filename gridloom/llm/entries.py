@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, mixing, near_dedup, packing, pfor, quality, urlfilter
+from . import exact_dedup, langid, licenses, mixing, near_dedup, packing, passages, pfor, quality, urlfilter
 from .common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_output(table(spark, sf_dir, "documents"))
 
 
+@query("op3_repeated_passages")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_exact_dedup",
     r"""

@@ -3,7 +3,7 @@
 Two smoothed variable-order Markov models are counted, one over URLs that a rule allows and one over those that a rule blocks or
 that hold a seed term. A character's probability after n characters is interpolated with that after n - 1 (Witten-Bell). The
 score of a URL is the mean, over its characters, of the log of the probabilities' ratio, each at the longest context for which
-the gram was seen; the threshold lies midway between the mean scores of both classes. DataFrame operations alone.
+the gram was seen; the threshold is calibrated on the scores of both classes. DataFrame operations alone.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: URLs with one of these terms in the host train the model of rejected URLs, where no rule says otherwise.
 SEEDS = ("casino", "pills", "spam", "viagra", "porn", "xxx", "poker", "lottery", "torrent", "warez")
 ORDER = 4
+#: Part of the accepted URLs that the threshold may cost.
+LOST = 0.01
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters, 0 for digits, these marks and ~ for the rest: 40 symbols, so a table of grams has at most 40 ** ORDER rows.
 MARKS = r"/.:?=&#_%\-+"
@@ -91,6 +93,22 @@ def scores(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return rows.groupBy("url").agg((F.sum(F.round(ratio * 1e9).cast("long")) / F.count("*") / 1e9).alias("score"))
 
 
+def threshold_of(cells: list[tuple[bool, int, int]]) -> float | None:
+    """(rejected, score in thousandths, URLs): midway between the classes' means, but so low that at most LOST of the accepted
+    URLs fall below it. None unless both classes occur."""
+    good, bad = (sorted((c, n) for b, c, n in cells if b == kind) for kind in (False, True))
+    if not good or not bad:
+        return None
+    mean = lambda x: sum(c * n for c, n in x) / sum(n for _, n in x)
+    below, allowed, quantile = 0, LOST * sum(n for _, n in good), good[0][0]
+    for c, n in good:
+        quantile = c
+        below += n
+        if below > allowed:
+            break
+    return min((mean(good) + mean(bad)) / 2, quantile) / 1000
+
+
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, score.
 
@@ -108,8 +126,9 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     bad = F.coalesce(F.col("_ruled") == "block", F.when(seeded, F.lit(True)))
     labelled = urls.withColumn("bad", bad).where("bad is not null")
     scored = stored(scores(urls.where("_ruled is null").unionByName(labelled.where("_ruled is not null").drop("bad")).select("url", "_chars"), train(labelled)), "scores")
-    means = scored.join(labelled.select(F.col("url").alias("_url"), "bad"), F.col("url") == F.col("_url")).groupBy("bad").agg(F.avg(F.round(F.col("score") * 1e6).cast("long")).alias("mean")).collect()
-    threshold = sum(r["mean"] for r in means) / 2e6 if len(means) == 2 else None
+    # scores by thousandths: some tens of thousands of cells at most, as a character's log ratio is bounded by its smoothing
+    cells = scored.join(labelled.select(F.col("url").alias("_url"), "bad"), F.col("url") == F.col("_url")).groupBy("bad", F.floor(F.col("score") * 1000).alias("cell")).agg(F.count("*").alias("n")).collect()
+    threshold = threshold_of([(r.bad, r.cell, r.n) for r in cells])
     judged = F.lit("allow") if threshold is None else F.when(F.col("score") < threshold, "block").otherwise("allow")
     out = rows.join(scored.select(F.col("url").alias("_url"), "score"), F.col("url") == F.col("_url"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), F.when(F.col("rule").isNull(), F.col("score")).alias("score"))
