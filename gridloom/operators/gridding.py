@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..functions.lattice import Lattice, round_half_away
+from ..functions.lattice import Lattice
 from . import spatial
 
 SNAP = 1e-9
@@ -41,8 +41,7 @@ def grid_idw(points: DataFrame, lattice: Lattice, keys: list[str] | None = None)
 
 
 def _snapped(f):
-    near = round_half_away(f).cast("double")
-    return F.when(F.abs(f - near) <= SNAP, near).otherwise(f)
+    return F.when(F.abs(f - F.round(f)) <= SNAP, F.round(f)).otherwise(f)
 
 
 def resample(field: DataFrame, source: Lattice, target: Lattice, method: str = "bilinear", keys: list[str] | None = None) -> DataFrame:
@@ -56,7 +55,7 @@ def resample(field: DataFrame, source: Lattice, target: Lattice, method: str = "
     fi, fj = source.xy_to_ij(F.col("x"), F.col("y"))
     at = target.nodes(field.sparkSession).select("i", "j", _snapped(fi).alias("_fi"), _snapped(fj).alias("_fj"))
     inside = (F.col("_fi") >= 0) & (F.col("_fj") >= 0) & (F.col("_fi") <= source.ncol - 1) & (F.col("_fj") <= source.nrow - 1)
-    near_i, near_j = round_half_away(F.col("_fi")).cast("int"), round_half_away(F.col("_fj")).cast("int")
+    near_i, near_j = F.round("_fi").cast("int"), F.round("_fj").cast("int")
     values = field.select(*keys, F.col("i").alias("_ci"), F.col("j").alias("_cj"), F.col("v").alias("_v"))
     sets = field.select(*keys).distinct() if keys else None
     everything = at.join(sets) if keys else at

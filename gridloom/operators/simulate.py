@@ -166,7 +166,7 @@ def sgs_collocated(points: DataFrame, secondary: DataFrame, seeds: DataFrame, la
     if not -1 <= correlation <= 1:
         raise InvalidArgument("the correlation must be in [-1, 1]")
     data = points.select("layer", "pid", "x", "y", "z").join(seeds, "layer")
-    beside = secondary.select("layer", "i", "j", "v").join(seeds, "layer")
+    beside = secondary.select("layer", "i", "j", "v").join(seeds, "layer").select(*[F.col(c).alias(c) for c in ("layer", "seed", "i", "j", "v")])
     kind = points.schema["layer"].dataType.simpleString()
 
     def run(key: tuple, part: pd.DataFrame, field: pd.DataFrame) -> pd.DataFrame:

@@ -511,9 +511,9 @@ CELL_EDGES = {1: "lb", 2: "br", 3: "lr", 4: "rt", 5: "lb rt", 6: "bt", 7: "tl",
 def contour_segments(field: DataFrame, lattice: Lattice, level: float) -> DataFrame:
     """(i, j, part, x1, y1, x2, y2): the level's pieces in the cells that have four values. A cell's corners meet by an equi-join on nodes."""
     x, y = lattice.node_xy(F.col("i"), F.col("j"))
-    corner = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.col("v").alias("v"))
+    placed = field.where(~F.isnan("v")).withColumns({"x": x.cast("double"), "y": y.cast("double")})
     places = F.array(*[F.struct((F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), F.lit(k).alias("k")) for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
-    rows = field.where(~F.isnan("v")).select(corner.alias("c"), F.explode(places).alias("p"))
+    rows = placed.select(F.struct("x", "y", "v").alias("c"), F.explode(places).alias("p"))
     cells = rows.groupBy("p.i", "p.j").agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("p.k") == k, F.col("c"))).alias(f"_{k}") for k in range(4)]).where("_n = 4")
     above = sum((F.when(F.col(f"_{k}.v") > level, 1 << k).otherwise(0) for k in range(4)), F.lit(0))
     flat = lambda a, b: F.abs(F.col(f"_{b}.v") - F.col(f"_{a}.v")) < 2.2250738585072014e-308

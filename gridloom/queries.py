@@ -1,7 +1,9 @@
-"""The catalogue of named queries over the driver's tables."""
+"""The catalogue of named queries over the driver's tables, each with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -16,3 +18,10 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from .plans import columns, generated, payloads, series, space  # noqa: E402, F401  they register their queries
