@@ -86,10 +86,17 @@ def ordinary_kriging(points: DataFrame, lattice: Lattice, variogram: Variogram |
     xy = np.array([(r.x, r.y) for r in data])
     z = np.array([r.z for r in data])
     n = len(z)
-    a = np.ones((n + 1, n + 1))
-    a[:n, :n] = variogram.between(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-    a[n, n] = 0
-    shared = spark.sparkContext.broadcast((xy, z, np.linalg.inv(a)))
+
+    def invert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = np.ones((n + 1, n + 1))
+        a[:n, :n] = variogram.between(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+        a[n, n] = 0
+        for _ in parts:
+            yield pd.DataFrame({"inverse": [np.linalg.inv(a).tobytes()]})
+
+    # in a task, whose linear algebra keeps to the cores that Spark gives it
+    inverse = spark.range(1, numPartitions=1).mapInPandas(invert, "inverse binary").first()[0]
+    shared = spark.sparkContext.broadcast((xy, z, np.frombuffer(inverse).reshape(n + 1, n + 1)))
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xy, z, inverse = shared.value

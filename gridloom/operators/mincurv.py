@@ -260,8 +260,8 @@ def grid_min_curvature(points: DataFrame, lattice: Lattice, keys: list[str] | No
             out.insert(n, keys[n], v)
         return out
 
-    grouped = points.select(*keys, "pid", "x", "y", "z").groupBy(*(keys or [F.lit(0)]))
-    return grouped.applyInPandas(solve, schema)
+    rows = points.select(*keys, F.lit(0).alias("_one"), "pid", "x", "y", "z")
+    return rows.groupBy(*(keys or ["_one"])).applyInPandas(solve, schema)
 
 
 def grid_horizons(points: DataFrame, lattice: Lattice, horizon: str, conditioning: str = "bilinear") -> DataFrame:
