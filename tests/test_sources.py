@@ -141,3 +141,14 @@ def test_streams(spark, tmp_path):
     assert {(r.i, r.j): pytest.approx(r.v, abs=1e-6) for r in second.collect()} == want
     with pytest.raises(InvalidArgument):
         g.add_control(5, 0, 1.0)
+
+
+def test_asset(spark, tmp_path):
+    from gridloom.operators.asset import synth_asset
+
+    made = synth_asset(spark, str(tmp_path / "a"), seed=21, n_wells=1, ncol=7)
+    assert len(made["wells"]) == 1 and all("Top" in w["tops_md"] for w in made["wells"])
+    files = {str(p.relative_to(tmp_path / "a")) for p in (tmp_path / "a").rglob("*") if p.is_file()}
+    assert {"manifest.json", "Tops", "outline.lines", "trends/NTG.cps3", "surfaces/Top.grid", "wells/W-1.wellpath", "wells/W-1.las"} <= files
+    field, lattice = textgrids.read_irap_grid(spark, str(tmp_path / "a/surfaces/Top.grid"))
+    assert lattice.ncol == 7 and field.where("v > 0").count() == 0
