@@ -9,6 +9,19 @@ import public_tokenizers
 WORD_BPE = "word_bpe_49k.json"
 
 
+#: Marks that may follow a word; the rules take a run of them as one piece.
+MARKS = ".,!?;:#$%&*"
+
+
+def _printable() -> dict[int, str]:
+    """Byte-level vocabularies write the bytes that do not print, in order, as the characters from U+0100 on."""
+    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in stay)}
+
+
+PRINTABLE = _printable()
+
+
 def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
@@ -28,27 +41,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.marks: dict[str, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
         self.misses = 0
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """By all of the library's steps."""
         if not words:
             return {}
         found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found, strict=True)}
 
+    def _plain(self, letters: str) -> bytes:
+        """A word of letters below U+0180, by the library's model alone: such a word is normal already but for its case, and is
+        one piece to the rules, which hand it to the model with its bytes as printable characters."""
+        key = letters.lower()
+        text = key if key.isascii() else key.encode().decode("latin-1").translate(PRINTABLE)
+        found = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Words that the cache lacks. A word of letters before one mark is encoded as its two parts: the rules split them there."""
-        split = {}
+        """Words that the cache lacks. Letters before a run of marks are encoded as two parts: the rules split them there."""
+        known, new, rest = self.cache, {}, []
         for w in words:
-            if w[-1:] in b".,!?;:" and w[:-1].isalpha():
-                split[w] = w[:-1]
-        alone = {w for w in words if w not in split} | {w for w in split.values() if w not in self.cache} | {w[-1:] for w in split}
-        new = self._encode(sorted(alone))
-        known = self.cache
-        for w, head in split.items():
-            new[w] = (known.get(head) or new[head]) + new[w[-1:]]
+            whole = w.decode("utf-8", "replace")
+            letters = whole.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0180" and "\u0130" not in letters)):
+                marks = whole[len(letters) :]
+                head = w[: len(w) - len(marks)]
+                found = known.get(head) or new.get(head)
+                if found is None:
+                    found = new[head] = self._plain(letters)
+                if marks:
+                    if marks not in self.marks:
+                        self.marks[marks] = self._encode([marks.encode()])[marks.encode()]
+                    found += self.marks[marks]
+                new[w] = found
+            else:
+                rest.append(w)
+        new |= self._encode(sorted(rest))
         self.misses += len(words)
+        if len(self.marks) > 10_000:
+            self.marks = {}
         if len(known) + len(new) <= self.LIMIT:
             known.update(new)
         elif self.misses > 2 * self.LIMIT:
