@@ -181,3 +181,16 @@ def test_passages(spark, docs, nothing):
     assert best[3].ref_id == 1 and best[3].same_words >= 78 and best[3].end_word - best[3].start_word >= 80
     assert passages.passages(nothing).count() == 0
     assert passages.passages(docs).count() >= 55
+
+
+def test_passages_whose_pieces_came_before(spark):
+    """Two documents share a passage, and earlier ones hold pieces too short to be passages."""
+    made = []
+    for k in range(12):
+        shared = words(60, 700 + k, 100_000)
+        around = lambda middle, n, k=k: words(50, 800 + 10 * k + n, 100_000) + middle + words(50, 900 + 10 * k + n, 100_000)
+        other = [w if i % 9 != 4 or k % 2 else f"y{i}" for i, w in enumerate(shared)]  # word for word or changed
+        made += [(1000 * k + n, " ".join(around(w, n))) for n, w in enumerate((shared[:40], shared[20:], shared, other))]
+        made += [(1000 * k + 4, " ".join(words(50, 850 + k, 100_000)))]
+    found = {(r.doc_id, r.ref_id) for r in passages.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {(1000 * k + 3, 1000 * k + 2) for k in range(12)} <= found
