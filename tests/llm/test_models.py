@@ -194,3 +194,22 @@ def test_passages_whose_pieces_came_before(spark):
         made += [(1000 * k + 4, " ".join(words(50, 850 + k, 100_000)))]
     found = {(r.doc_id, r.ref_id) for r in passages.passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert {(1000 * k + 3, 1000 * k + 2) for k in range(12)} <= found
+
+
+def test_passages_recall(spark):
+    """From 45 words on and 0.8 alike, against pairs that are known to share a passage."""
+    r = np.random.default_rng(4)
+    ways = {f"{n}, every {k}": (n, lambda n, k=k: set(range(k - 1, n - 1, k))) for n, k in ((45, 5), (60, 6), (60, 8), (60, 10), (100, 10))}
+    ways |= {f"{n}, at random": (n, lambda n: set(r.choice(np.arange(4, n - 4), int(n * 0.19), replace=False).tolist())) for n in (45, 60, 100)}
+    made, of = [], {}
+    for name, (n, change) in ways.items():
+        for _ in range(25):
+            k = len(made)
+            shared = words(n, 5000 + k, 100_000)
+            at = change(n)
+            for m, w in enumerate((shared, [f"x{k}-{i}" if i in at else w for i, w in enumerate(shared)])):
+                made.append((k + m, " ".join(words(80, 6000 + 3 * (k + m), 100_000) + w + words(80, 6001 + 3 * (k + m), 100_000))))
+            of[k + 1] = name
+    found = {x.doc_id for x in passages.passages(spark.createDataFrame(made, "doc_id long, text string").repartition(8)).collect()}
+    share = {name: sum(d in found for d, x in of.items() if x == name) / 25 for name in ways}
+    assert all(v == 1 for name, v in share.items() if "every" in name) and min(share.values()) >= 0.8, share
