@@ -19,10 +19,11 @@ MOST = 3
 DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source key, size (words) and the two digit groups of the place."""
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source key, size (words) and the two digit groups of the place; what else is asked for comes first."""
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
+        *more,
         F.col("doc_id").cast("long").alias("doc_id"),
         source_key(F.col("source")).alias("_source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -66,15 +67,8 @@ def _boundary(cells: DataFrame, keys: list[str], cell: str) -> DataFrame:
     return summed.where(inside).select(*keys, F.col(cell).alias(f"_at{cell}"), F.col("_words").alias(f"_in{cell}"), (F.col("_budget") - F.col("_before")).alias(f"_left{cell}"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken.
-
-    taken is whole repeats of the document for the whole part of target / source_size and, for the rest, the document again
-    if its place is below the source's threshold; documents of the boundary cell take a share of what is left. Null texts
-    have size 0, a null source is a source of its own, rows that repeat a doc_id share a place, a null doc_id has the place of
-    an empty text. A source without words has target 0. An empty table gives none; other columns are not read.
-    """
-    sized = stored(sizes(docs), "sizes")
+def _thresholds(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """A row for each source: its target, whole repeats, and the boundary cells of what is left."""
     goal = stored(
         targets(sized, weights, most).select(
             "*",
@@ -87,8 +81,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     inner = sized.join(cut.select("_source", F.col("_at_first").alias("_first"), F.col("_left_first").alias("_budget")), ["_source", "_first"])
     inner = inner.groupBy("_source", "_budget", "_next").agg(F.sum("size").alias("_words"))
     finer = _boundary(inner, ["_source"], "_next")
-    goal = stored(goal.join(cut, "_source", "left").join(finer, "_source", "left"), "thresholds")
-    share: Column = F.floor(F.col("size") * F.col("_left_next") / F.col("_in_next")).cast("long")
+    return stored(goal.join(cut, "_source", "left").join(finer, "_source", "left"), "thresholds")
+
+
+def _taken(in_words: bool = True) -> Column:
+    """The words that the mix takes of a row of sizes joined with its source's thresholds; as a share of a word may be left, floored or not."""
+    share: Column = F.col("size") * F.col("_left_next") / F.col("_in_next")
+    share = F.floor(share).cast("long") if in_words else share
     extra = (
         F.when(F.col("_at_first").isNull() | (F.col("_first") < F.col("_at_first")), F.when(F.col("_budget") > 0, F.col("size")).otherwise(0))
         .when(F.col("_first") > F.col("_at_first"), 0)
@@ -96,16 +95,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
         .when(F.col("_next") > F.col("_at_next"), 0)
         .otherwise(share)
     )
-    taken = F.col("_whole") * F.col("size") + extra
-    return sized.join(goal, "_source").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return F.col("_whole") * F.col("size") + extra
+
 
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken.
+
+    taken is whole repeats of the document for the whole part of target / source_size and, for the rest, the document again
+    if its place is below the source's threshold; documents of the boundary cell take a share of what is left. Null texts
+    have size 0, a null source is a source of its own, rows that repeat a doc_id share a place, a null doc_id has the place of
+    an empty text. A source without words has target 0. An empty table gives none; other columns are not read.
+    """
+    sized = stored(sizes(docs), "sizes")
+    return sized.join(_thresholds(sized, weights, most), "_source").select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them, to whole documents (half a document or more counts as one); all columns."""
-    found = mix(docs).where("doc_id is not null and size > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    times = F.floor(F.col("_taken") / F.col("_size") + F.lit(0.5)).cast("int")
-    found = found.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    return docs.join(found, docs.doc_id == found._id).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs as often as the mix takes them, to whole documents (half a document or more counts as one); all columns.
+
+    The copies of a row follow from its own size and share, whether its doc_id is null or comes again. Rows without a doc_id
+    have one place and so one share: of it, each counts as one more by a hash of its text, or all or none of them would. Rows
+    without words are never taken.
+    """
+    goal = _thresholds(stored(sizes(docs), "sizes"), weights, most)
+    hashed = F.pmod(F.xxhash64(F.col("_row.text").cast("string")), F.lit(1_000_003)) / 1_000_003
+    rows = sizes(docs, F.struct(*[docs[c] for c in docs.columns]).alias("_row")).where("size > 0").join(goal, "_source")
+    times = F.floor(F.when(F.col("doc_id").isNull(), _taken(False) / F.col("size") + hashed).otherwise(_taken() / F.col("size") + 0.5)).cast("int")
+    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same result as SQL; thresholds are written as running sums over all cells at once.

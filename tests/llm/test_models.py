@@ -103,6 +103,24 @@ def test_mix(docs, rows, nothing):
     assert again.columns == docs.columns and again.count() > 0
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    """Each row's copies follow from its own source and size."""
+    made = [(None, f"none {k} a b", "a") for k in range(300)] + [(k, f"some {k} a b", "a") for k in range(600)]
+    made += [(5, "long " * 50 + f"x{k}", "b") for k in range(3)] + [(7, "ten " * 10, "a"), (7, "many " * 1000, "c")]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    size = lambda t: len(t.split())
+    found = mixing.mixed_rows(table, (1, 1, 1)).collect()
+    targets = {r.source: r.target for r in mixing.mix(table, (1, 1, 1)).join(table, "doc_id").collect() if r.size == 4 and r.source == "a"}
+    got = sum(size(r.text) for r in found if r.source == "a")
+    assert abs(got - targets["a"]) < 0.1 * targets["a"]
+    assert {r.text for r in found if r.doc_id is None} and {r.text for r in found if r.doc_id is not None}
+    copies = {}
+    for r in found:
+        copies[r.source, r.doc_id, r.text] = copies.get((r.source, r.doc_id, r.text), 0) + 1
+    whole = {(r.doc_id, r.size, int(r.taken / r.size + 0.5)) for r in mixing.mix(table, (1, 1, 1)).where("doc_id is not null").collect()}
+    assert {(i, size(t), copies.get((s, i, t), 0)) for i, t, s in made if i is not None} == whole
+
+
 def test_licenses(spark, docs, rows, nothing):
     texts = [
         "Alpha. Released under the MIT License. beta under the mit license",
