@@ -14,11 +14,11 @@ from .sql import NORMAL_INVERSE, UNIFORM, rounded
 _NAN = "-9999.0"
 
 
-def _knots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _knots(spark: SparkSession, sf_dir: str, users: str) -> tuple[DataFrame, DataFrame]:
     """Each user's events are knots (seconds, value); a query every day and a half."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "value")
     knots = e.select("user_id", (F.col("us") / 1e6).alias("x"), F.col("value").alias("y"))
-    queries = e.where("user_id % 3 = 0").groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    queries = e.where(users).groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     queries = queries.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("qid"), (F.col("a") / 1e6).alias("a"), (F.col("b") / 1e6).alias("b"))
     return knots, queries.select("user_id", "qid", F.floor(F.col("a") + (F.col("b") - F.col("a")) * (F.col("qid") - 1) / 10.0).cast("double").alias("q"))
 
@@ -42,7 +42,7 @@ _METHODS = {
 def _interp(method: str, sql: str | None) -> None:
     @query(f"interp_{method}", sql and f"{_KNOT_SQL} SELECT user_id, qid, coalesce({rounded(sql, 5)}, {_NAN}) AS v FROM n")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        knots, queries = _knots(spark, sf_dir)
+        knots, queries = _knots(spark, sf_dir, "user_id % 3 = 0" if sql else "true")  # those of _KNOT_SQL, or all
         name, _, extra = method.partition("_")
         out = interp.interp1d(knots, queries, ["user_id"], name, extrapolate=bool(extra))
         return out.select("user_id", "qid", at_scale(F.when(F.isnan("v"), float(_NAN)).otherwise(F.col("v")), 5).alias("v"))
