@@ -148,5 +148,5 @@ def well_log_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     md = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 0.5
     curves = e.select(F.col("user_id").alias("well"), F.col("event_type").alias("mnemonic"), md.alias("md"), F.col("value").alias("v"))
-    tops = e.where("event_id % 50 = 0").select(F.col("user_id").alias("well"), F.col("event_type").alias("horizon"), F.col("value").alias("tvd"))
+    tops = e.select(F.col("user_id").alias("well"), F.col("event_type").alias("horizon"), F.col("value").alias("tvd"))
     return payload.well_log_bundle(curves, tops)
