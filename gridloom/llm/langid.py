@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -46,24 +46,40 @@ def _grams(word: Column, n: int) -> Column:
     return F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.substr(marked, i, F.lit(n))))
 
 
+def even_share(have: list[int], total: int) -> float:
+    """The most that each may give, where those with less give all, for a sum of total."""
+    left, many = float(total), len(have)
+    for n in sorted(have):
+        if n * many >= left:
+            return left / many
+        left, many = left - n, many - 1
+    return float(max(have, default=0))
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> dict:
     """The model from text and lang of the rows of docs that are not held out, have a doc_id and a lang.
 
-    Where there are more than train_docs of them, those of the lowest hashes are taken, to about that number. Languages without
-    a word are not learned. Words and n-grams are the most frequent ones (ties by text), so the model's size is bounded.
+    Where there are more than train_docs of them, those of the lowest hashes are taken, to about that number: of each language
+    as many as of any other, or all that it has. Languages without a word are not learned. Words and n-grams are those of the
+    best rank by frequency in some language (ties by the frequency in all, then by text), so the model's size is bounded and no
+    language's words give way to a larger one's.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    n = rows.select("lang").count()
-    if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * train_docs / n))
+    have = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(have.values()) > train_docs:
+        each = even_share(list(have.values()), train_docs)
+        cut = F.create_map(*[F.lit(v) for x, n in have.items() for v in (x, math.ceil(1_000_003 * min(1.0, each / n)))])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(cut, F.col("lang")))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORDS), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = stored(words, "words")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
 
     def tables(counted: DataFrame, key: str, most: int) -> dict[str, list[float]]:
-        top = counted.groupBy(key).agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"_{k}") for k, x in enumerate(languages)])
-        return {r[0]: list(r[2:]) for r in top.orderBy(F.desc("_all"), key).limit(most).collect()}
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+        counted = counted.select("lang", "n", key, rank.alias("_rank"))
+        top = counted.groupBy(key).agg(F.min("_rank").alias("_best"), F.sum("n").alias("_all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"_{k}") for k, x in enumerate(languages)])
+        return {r[0]: list(r[3:]) for r in top.orderBy("_best", F.desc("_all"), key).limit(most).collect()}
 
     # words seen once are left to their n-grams
     known = tables(words.join(words.groupBy("w").agg(F.sum("n").alias("_s")).where("_s > 1"), "w"), "w", most_words) if languages else {}

@@ -121,6 +121,20 @@ def test_mixed_rows_of_null_and_repeated_ids(spark):
     assert {(i, size(t), copies.get((s, i, t), 0)) for i, t, s in made if i is not None} == whole
 
 
+def test_language_of_few_documents(spark):
+    """A rare language beside one with many more documents and words keeps its sample and its words."""
+    r = np.random.default_rng(3)
+    text = lambda mark, many: " ".join(mark * 2 + "".join(chr(97 + int(c)) for c in np.base_repr(int(v), 10)) for v in r.integers(0, many, 40))
+    made = [(k, text("q", 5_000), "hot") for k in range(3000)] + [(10_000 + k, text("z", 50), "rare") for k in range(12)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.train(table, train_docs=100, most_words=100, most_grams=100)
+    assert model["languages"] == ["hot", "rare"] and len(model["words"]) == 100
+    own = {w for d, t, x in made if x == "rare" for w in t.split()}
+    assert len(own & set(model["words"])) >= 45
+    assert {x.lang_pred for x in langid.predict(table.where("lang = 'rare'"), model).collect()} == {"rare"}
+    assert langid.even_share([5, 100, 100], 105) == 50 and langid.even_share([1, 2], 10) == 2
+
+
 def test_licenses(spark, docs, rows, nothing):
     texts = [
         "Alpha. Released under the MIT License. beta under the mit license",
