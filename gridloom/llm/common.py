@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -17,9 +18,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests, a new local one."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a new local one if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
@@ -53,21 +56,62 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHashes(dict):
-    """Word to its 64-bit hash; as a dict, since most words come again. It is emptied at a set size, so its memory is bounded."""
+_clear: dict[str, Callable] = {}
 
-    LIMIT = 400_000
+
+def begin(owner: str, clear: Callable) -> None:
+    """A Python worker serves one operator after another. The one that begins empties what the others hold, so that their caches do not add up."""
+    for other, f in list(_clear.items()):
+        if other != owner:
+            f()
+            del _clear[other]
+    _clear[owner] = clear
+
+
+class Recent(dict):
+    """The entries of late: when there are `limit`, they become the older ones, and those that were older go. So its memory is
+    bounded, and what comes again and again stays."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            super().clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
+class WordHashes(Recent):
+    """Word to its 64-bit hash; as a dict, since most words come again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        self.turn()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The worker's word hashes, for all operators that need them.
+word_hashes = WordHashes(100_000)
+
+
+def hash_words() -> WordHashes:
+    begin("words", word_hashes.clear)
+    return word_hashes
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit numbers: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(31))

@@ -9,16 +9,17 @@ probability under equal priors (of mean scores a word, so that long texts do not
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import begin, stored
 
 #: Documented bounds of the model: training documents at most about so many (drawn by hash), words and n-grams at most so many.
 TRAIN_DOCS = 20_000
@@ -27,9 +28,9 @@ LONGEST = 4
 UNKNOWN = "und"
 #: The pipeline rejects predictions below this score, and texts without a letter.
 LEAST_SCORE = 0.5
-WORDS = re.compile(r"[^\W\d_]+")
-#: The same words for the JVM: letters and the marks that combine with them do not differ in what training counts.
-JVM_WORDS = r"\p{L}+"
+#: A word is a run of letters (Unicode category L), for training in the JVM and for scoring alike.
+LETTERS = r"\p{L}+"
+WORDS = regex.compile(LETTERS)
 
 
 def fold(doc_id: Column) -> Column:
@@ -70,7 +71,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_
         each = even_share(list(have.values()), train_docs)
         cut = F.create_map(*[F.lit(v) for x, n in have.items() for v in (x, math.ceil(1_000_003 * min(1.0, each / n)))])
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(cut, F.col("lang")))
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORDS), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     words = stored(words, "words")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
@@ -95,30 +96,69 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = MOST_
     return model
 
 
+def packed(model: dict) -> dict:
+    """The model with a Table for each of its dicts, as workers hold it."""
+    n = len(model["languages"])
+    return {"languages": model["languages"], "words": Table.build(model["words"], n), "grams": [Table.build(g, n) for g in model["grams"]]}
+
+
+class Table:
+    """Texts to rows of scores: 64-bit hashes in ascending order and a matrix, so a table of any vocabulary takes two arrays."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray):
+        self.hashes, self.rows = hashes, rows
+
+    @staticmethod
+    def hash(texts: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
+
+    @classmethod
+    def build(cls, rows: dict[str, np.ndarray], n: int) -> Table:
+        hashes = cls.hash(list(rows))
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], np.array([*rows.values()], np.float32).reshape(-1, n)[order])
+
+    def find(self, texts: list[str]) -> np.ndarray:
+        """For each text its row, or -1."""
+        if not len(self.hashes):
+            return np.full(len(texts), -1)
+        wanted = self.hash(texts)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+
 class Scorer:
-    """Rows of scores by word; words that come again are looked up. The table is emptied at a set size."""
+    """Rows of scores by word; words that come again are looked up. What it holds is emptied at a set size."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, model: dict):
-        self.model, self.n = model, len(model["languages"])
+        self.model, self.n = model if isinstance(model["words"], Table) else packed(model), len(model["languages"])
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, self.n), np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        found = self.model["words"].get(w)
-        if found is not None:
-            return found
-        marked = f"<{w}>"
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The scores of words: of the word if it is known, else the mean of its longest known n-grams, else zero."""
+        out = np.zeros((len(words), self.n), np.float32)
+        found = self.model["words"].find(words)
+        out[found >= 0] = self.model["words"].rows[found[found >= 0]]
+        left = np.flatnonzero(found < 0)
         for size in range(len(self.model["grams"]), 0, -1):
-            text, known = marked if size > 1 else w, self.model["grams"][size - 1]
-            rows = [g for k in range(len(text) - size + 1) if (g := known.get(text[k : k + size])) is not None]
-            if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(self.n, np.float32)
+            texts = [f"<{words[k]}>" if size > 1 else words[k] for k in left.tolist()]
+            grams = [t[k : k + size] for t in texts for k in range(len(t) - size + 1)]
+            owner = np.repeat(np.arange(len(left)), [max(0, len(t) - size + 1) for t in texts])
+            found = self.model["grams"][size - 1].find(grams)
+            owner, found = owner[found >= 0], found[found >= 0]
+            many = np.bincount(owner, minlength=len(left))
+            total = np.zeros((len(left), self.n))
+            np.add.at(total, owner, self.model["grams"][size - 1].rows[found])
+            some = many > 0
+            out[left[some]] = total[some] / many[some, None]
+            left = left[~some]
+        return out
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:
         words = WORDS.findall(text.lower())
@@ -127,12 +167,12 @@ class Scorer:
         except KeyError:
             if len(self.at) > self.LIMIT:
                 self.reset()
-            for w in words:
-                if w not in self.at:
-                    k = self.at[w] = len(self.at)
-                    if k >= len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    self.table[k] = self.word(w)
+            new = [w for w in dict.fromkeys(words) if w not in self.at]
+            first = len(self.at)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = self.rows(new)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
             rows = list(map(self.at.__getitem__, words))
         return self.table[rows].sum(axis=0, dtype=np.float64), len(words)
 
@@ -153,6 +193,7 @@ _scorers: dict[str, Scorer] = {}
 
 def scorer(key: str, shared) -> Scorer:
     """The worker's scorer of a broadcast model; one at a time."""
+    begin("langid", _scorers.clear)
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(shared.value)
@@ -179,7 +220,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(uuid.uuid4().hex, spark.sparkContext.broadcast(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(uuid.uuid4().hex, spark.sparkContext.broadcast(packed(model))), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, model: dict | None = None, least: float = LEAST_SCORE) -> DataFrame:
@@ -187,7 +228,7 @@ def in_known_language(docs: DataFrame, model: dict | None = None, least: float =
     spark = docs.sparkSession
     model = train(docs) if model is None else model
     shape, key = docs.schema, uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = scorer(key, shared).predict

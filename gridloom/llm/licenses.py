@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, stored
+from .common import gram_hashes, hash_words, stored, word_hashes
 
 #: Phrases whose every place counts (n_base).
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -45,7 +45,6 @@ GAP, COVERED = 3, 0.8
 #: A notice is looked at if this part of its runs voted.
 VOTED = 0.4
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_hashes = WordHashes()
 _HEADER = 0
 
 
@@ -63,13 +62,14 @@ def template_grams(spark: SparkSession) -> DataFrame:
     size is that of the constants above, whatever the input, so it may be broadcast."""
     rows = [(_HEADER, -1, 0, 0)]
     for t, (_, words, base) in enumerate(templates()):
-        grams = gram_hashes(_hashes.of(words), GRAM).view(np.int64).tolist()
+        grams = gram_hashes(word_hashes.of(words), GRAM).view(np.int64).tolist()
         rows += [(g, t, k, len(grams) if base else max(1, int(VOTED * len(grams)))) for k, g in enumerate(grams)]
     return spark.createDataFrame(rows, "gram long, template int, at int, need int")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_id, _text_id, text) -> a header row (gram 0, pos: number of words) and a row for each run of GRAM words."""
+    hash_words()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -77,7 +77,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, places, sizes = [], [], []
             for t in part.column(2):
                 words = words_of(t.as_py())
-                grams = gram_hashes(_hashes.of(words), GRAM).view(np.int64)
+                grams = gram_hashes(word_hashes.of(words), GRAM).view(np.int64)
                 grams = np.where(grams == _HEADER, 1, grams)
                 found += [np.array([_HEADER]), grams]
                 places += [np.array([len(words)]), np.arange(len(grams))]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes
+from .common import gram_hashes, hash_words, word_hashes
 
 #: Documented bound of the model: about so many labelled rows are taken, by hash of their id.
 TRAIN_ROWS = 4_000
@@ -26,7 +26,6 @@ KEEP_FROM = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
-_hashes = WordHashes()
 
 
 def counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -39,7 +38,7 @@ def counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
             seen.add(line)
     n_repeat = 0
     if len(words) >= 3:
-        _, back, often = np.unique(gram_hashes(_hashes.of(words), 3), return_inverse=True, return_counts=True)
+        _, back, often = np.unique(gram_hashes(word_hashes.of(words), 3), return_inverse=True, return_counts=True)
         twice = (often > 1)[back]
         covered = np.zeros(len(words), bool)
         for k in range(3):
@@ -54,7 +53,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def features(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a text that occur and their weights: words below DIMENSIONS, byte n-grams from there on."""
-    at = (_hashes.of(words) >> np.uint64(20)) & np.uint64(DIMENSIONS - 1)
+    at = (word_hashes.of(words) >> np.uint64(20)) & np.uint64(DIMENSIONS - 1)
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     n = len(raw) - CHARS + 1
     if n > 0:
@@ -71,6 +70,7 @@ def features(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hash_words()
     for batch in batches:
         found = []
         for t in batch.column(0):
@@ -150,6 +150,7 @@ def judge(docs: DataFrame, model: dict | None, keep_from: float = KEEP_FROM) ->
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_words()
         if key not in _models:
             _models.clear()
             _models[key] = shared.value

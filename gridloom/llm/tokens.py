@@ -1,16 +1,32 @@
-"""Token ids of whole texts as packed bytes, by the tokenizers library with a cache of words."""
+"""Token ids of whole texts as packed bytes, by the tokenizers library with a cache of pieces."""
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 
 import public_tokenizers
 
-WORD_BPE = "word_bpe_49k.json"
-
+from .common import Recent, begin
 
-#: Marks that may follow a word; the rules take a run of them as one piece.
-MARKS = ".,!?;:#$%&*"
+WORD_BPE = "word_bpe_49k.json"
+#: The steps before the model that Encoder splits texts by itself for. A file with others goes to the library whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The letters, numbers and white space below U+0180, once texts are in lower case; the rules' pattern over them.
+LETTERS, NUMBERS, BLANKS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+#: Characters beyond those, and the one whose lower case is two.
+ODD = re.compile("[İƀ-\U0010ffff]")
+WORDS = re.compile(f"[^{BLANKS}]+")
+LONGEST_KEPT = 64
 
 
 def _printable() -> dict[int, str]:
@@ -26,102 +42,79 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(Recent):
+    """A piece, or an odd word, to its ids."""
+
+    def __init__(self, library, limit: int):
+        super().__init__(limit)
+        self.library, self.tokenize = library, library.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            if piece.isascii() and piece.isprintable():
+                ids = [t.id for t in self.tokenize(piece)]
+            elif ODD.search(piece):
+                ids = self.library.encode(piece, add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(PRINTABLE))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Texts to ids, each an unsigned little-endian 32-bit number.
 
-    The vocabulary's rules put white space between words away and never join across it, so a text's ids are those of its words
-    one after the other; the library encodes each new word once and the rest come from a cache. Words of ASCII are cached in
-    lower case, as the rules lower-case them. Beyond LIMIT words the cache takes no more, and after as many misses as LIMIT it
-    starts again, so its memory is bounded and common words stay in it.
+    Where a file's steps are NORMALIZER and PRE_TOKENIZER, white space goes and nothing joins across pieces, so a text's ids are
+    those of its pieces one after the other. The library's model encodes each new piece once; what comes again is found in a
+    cache of bounded size. Words with ODD characters go through all of the library's steps, and so do whole texts that may name
+    special tokens, and all texts of any other file.
     """
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.marks: dict[str, bytes] = {}
-        self.cache: dict[bytes, bytes] = {}
-        self.misses = 0
+        self.by_pieces = (rules["normalizer"], rules["pre_tokenizer"], rules["model"]["type"], rules["model"].get("dropout")) == (NORMALIZER, PRE_TOKENIZER, "BPE", None)
+        self.by_pieces &= all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        self.pieces = Pieces(self.library, self.LIMIT)
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         """By all of the library's steps."""
-        if not words:
-            return {}
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found, strict=True)}
-
-    def _plain(self, letters: str) -> bytes:
-        """A word of letters below U+0180, by the library's model alone: such a word is normal already but for its case, and is
-        one piece to the rules, which hand it to the model with its bytes as printable characters."""
-        key = letters.lower()
-        text = key if key.isascii() else key.encode().decode("latin-1").translate(PRINTABLE)
-        found = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Words that the cache lacks. Letters before a run of marks are encoded as two parts: the rules split them there."""
-        known, new, rest = self.cache, {}, []
-        for w in words:
-            whole = w.decode("utf-8", "replace")
-            letters = whole.rstrip(MARKS)
-            if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0180" and "\u0130" not in letters)):
-                marks = whole[len(letters) :]
-                head = w[: len(w) - len(marks)]
-                found = known.get(head) or new.get(head)
-                if found is None:
-                    found = new[head] = self._plain(letters)
-                if marks:
-                    if marks not in self.marks:
-                        self.marks[marks] = self._encode([marks.encode()])[marks.encode()]
-                    found += self.marks[marks]
-                new[w] = found
-            else:
-                rest.append(w)
-        new |= self._encode(sorted(rest))
-        self.misses += len(words)
-        if len(self.marks) > 10_000:
-            self.marks = {}
-        if len(known) + len(new) <= self.LIMIT:
-            known.update(new)
-        elif self.misses > 2 * self.LIMIT:
-            self.cache, self.misses = {}, 0
-        return new
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def _text(self, text: str) -> bytes:
+        if "<|" in text:
+            return self._whole([text])[0]
+        if not ODD.search(text):
+            split = PIECES.findall(text.lower())
+        else:
+            split = [p for w in WORDS.findall(text) for p in ([w] if ODD.search(w) else PIECES.findall(w.lower()))]
+        return b"".join(map(self.pieces.__getitem__, split))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """In turns of some megabytes of text, so that the words held at a time are bounded."""
-        out: list[bytes] = []
-        turn: list[bytes] = []
-        size = 0
+        if not self.by_pieces:
+            return self._whole([t or "" for t in texts])
+        out = []
         for text in texts:
-            data = (text or "").encode("utf-8", "replace")
-            if b"<|" not in data and data.isascii():
-                data = data.lower()
-            turn.append(data)
-            size += len(data)
-            if size > 2_000_000:
-                out += self._turn(turn)
-                turn, size = [], 0
-        return out + self._turn(turn)
-
-    def _turn(self, texts: list[bytes]) -> list[bytes]:
-        known = self.cache
-        split = [data.split() for data in texts]
-        found = [list(map(known.get, words)) for words in split]
-        missing: set[bytes] = set()
-        for words, parts in zip(split, found, strict=True):
-            if None in parts:
-                missing.update([w for w, p in zip(words, parts, strict=True) if p is None])
-        new = self._learn(missing)
-        return [b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)] if None in parts else parts) for words, parts in zip(split, found, strict=True)]
+            self.pieces.turn()
+            out.append(self._text(text) if text else b"")
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file; the caches of other operators are emptied."""
+    begin("tokens", lambda: [e.pieces.clear() for e in _encoders.values()])
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
