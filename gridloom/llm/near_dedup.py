@@ -6,11 +6,13 @@
    CHUNKS * (ERRORS + 1) - 1 have a chunk with at most ERRORS differing values. All ways to have them are enumerated: for each
    chunk and each choice of ERRORS positions left out, the remaining values are a key. So every pair within that distance
    shares a key. At similarity 0.85 a pair is beyond it, in all chunks, with probability 0.224 ** 8 = 6e-6.
-3. The smallest id in a key's bucket leads it. All documents that share a leader form a family: two documents of one bucket
+3. The smallest node in a key's bucket leads it. All documents that share a leader form a family: two documents of one bucket
    are in the family of its leader. Rows grow with links to leaders, not with pairs.
-4. A family is dealt into blocks of bounded size, and every pair of blocks goes to one group, which counts the intersections of
-   full sets (a matrix product for shingles that many hold, posting lists for the rest) and emits a spanning forest of the
-   pairs that pass. So no pair is written out, and none is left unchecked.
+4. Each member of a family is first compared with the leader, on full sets. Members that pass are joined by that alone, so they
+   are not compared with each other. The rest is dealt into blocks of bounded size, and every pair of blocks of which one is of
+   the rest goes to one group, which counts the intersections of full sets (a matrix product for shingles that many hold,
+   posting lists for the rest) and emits a spanning forest of the pairs that pass. So no pair is written out, and none that may
+   join two trees is left unchecked.
 5. Components of the forests, then back to classes and rows.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, shingle_set, stored, task_count, words_of
+from .common import hash_words, mix, shingle_set, stored, task_count, word_hashes, words_of
 from .components import components
 
 WORDS = 5
@@ -35,8 +37,7 @@ SIMILARITY = (100, 85)
 #: A block of a family: so many documents and shingles at most (a longer document is a block of its own).
 BLOCK_DOCS, BLOCK_SHINGLES = 768, 400_000
 
-SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary"
-_hashes = WordHashes()
+SKETCH = "doc_id long, tie long, n_shingles long, set_id binary, signature binary"
 
 
 def _permutations(n: int) -> np.ndarray:
@@ -61,14 +62,15 @@ def set_id(shingles: np.ndarray) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hash_words()
     for batch in batches:
         sizes, names, signatures = [], [], []
-        for text in batch.column(1):
-            shingles = shingle_set(_hashes.of(words_of(text.as_py())), WORDS)
+        for text in batch.column(2):
+            shingles = shingle_set(word_hashes.of(words_of(text.as_py())), WORDS)
             sizes.append(len(shingles))
             names.append(set_id(shingles) if len(shingles) else None)
             signatures.append(signature(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "tie", "n_shingles", "set_id", "signature"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,61 +148,129 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> list[t
     return out
 
 
+def alike(common: int, a: int, b: int) -> bool:
+    """Whether sets of these sizes, with so many members in common, reach SIMILARITY."""
+    return SIMILARITY[0] * common >= SIMILARITY[1] * (a + b - common)
+
+
+def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (leader, salt), the leader's own first -> (leader, node, linked) for each other row."""
+    hash_words()
+    group, lead = None, np.empty(0, np.uint64)
+    for batch in batches:
+        out: list[tuple[int, int, bool]] = []
+        for leader, salt, node, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+            shingles = shingle_set(word_hashes.of(words_of(text.as_py())), WORDS)
+            leader, salt, node = leader.as_py(), salt.as_py(), node.as_py()
+            if (leader, salt) != group:
+                group, lead = (leader, salt), shingles
+            else:
+                common = len(np.intersect1d(lead, shingles, assume_unique=True))
+                out.append((leader, node, alike(common, len(lead), len(shingles))))
+        kinds = (pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(3)], ["leader", "node", "linked"])
+
+
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (leader, left, right) -> links. A group holds two blocks at most."""
+    hash_words()
     group, ids, texts, sides = None, [], [], []
     links: list[tuple[int, int]] = []
 
     def close():
         if len(ids) > 1:
-            links.extend(forest(np.array(ids, np.int64), [shingle_set(_hashes.of(words_of(t)), WORDS) for t in texts], np.array(sides)))
+            links.extend(forest(np.array(ids, np.int64), [shingle_set(word_hashes.of(words_of(t)), WORDS) for t in texts], np.array(sides)))
 
     def batch_of():
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for leader, left, right, doc, own in zip(*columns, strict=True):
+        for leader, left, right, node, own, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if (leader, left, right) != group:
                 close()
                 group, ids, texts, sides = (leader, left, right), [], [], []
                 if len(links) > 10_000:
                     yield batch_of()
                     links.clear()
-            ids.append(doc["doc_id"])
-            texts.append(doc["text"])
+            ids.append(node)
+            texts.append(text)
             sides.append(own == right and left != right)
     close()
     yield batch_of()
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text, which tells rows of one doc_id apart) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, SKETCH)
+    return _texts(docs).mapInArrow(_sketch, SKETCH)
 
 
 def families(signed: DataFrame) -> DataFrame:
-    """(doc_id, signature) of distinct sets -> (leader, doc_id): each document with each leader of its buckets, itself included."""
-    keyed = signed.select("doc_id", "signature").mapInArrow(_keys, "key long, doc_id long")
-    buckets = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("_last")).where("leader <> _last").select("key", "leader"), "buckets")
-    return stored(keyed.join(buckets, "key").select("leader", "doc_id").distinct(), "families")
+    """(node, signature) of distinct sets -> (leader, node): each with each leader of its buckets, itself included."""
+    keyed = signed.select(F.col("node").alias("doc_id"), "signature").mapInArrow(_keys, "key long, doc_id long").withColumnRenamed("doc_id", "node")
+    buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader <> _last").select("key", "leader"), "buckets")
+    return stored(keyed.join(buckets, "key").select("leader", "node").distinct(), "families")
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct sets that reach SIMILARITY: for each group of blocks a spanning forest."""
+    """Links (a, b) between nodes of distinct sets that reach SIMILARITY, enough of them to span every component."""
     parts = task_count(docs.sparkSession)
-    members = stored(families(signed).join(signed.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles")), "doc_id"), "members")
-    sizes = stored(members.groupBy("leader").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s")).where("_n > 1"), "sizes")
-    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK_DOCS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(sizes, "leader").select("leader", "doc_id", blocks.alias("_blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
-    pairs = dealt.select("leader", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
-        "leader", F.least("own", "_other").alias("left"), F.greatest("own", "_other").alias("right"), "own", F.col("doc_id").alias("_id")
-    )
-    ids = stored(dealt.select(F.col("doc_id").alias("_id")).distinct(), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(ids, texts.doc_id == ids._id, "left_semi")
-    rows = pairs.join(texts, pairs._id == texts.doc_id).select("leader", "left", "right", F.struct("doc_id", "text").alias("doc"), "own")
+    size = signed.select(F.col("node").alias("_node"), F.col("n_shingles").alias("_size"))
+    members = families(signed)
+    members = members.join(size, F.col("node") == F.col("_node")).withColumnRenamed("_size", "size").drop("_node")
+    members = members.join(size, F.col("leader") == F.col("_node")).withColumnRenamed("_size", "lead").drop("_node")
+    members = stored(members, "members")
+    wanted = stored(members.where("leader <> node").select(F.explode(F.array("leader", "node")).alias("node")).distinct().join(signed.select("node", "doc_id", "tie"), "node"), "candidates")
+    texts = _texts(docs).join(wanted.select("node", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), [F.col("doc_id") == F.col("_id"), F.col("tie") == F.col("_tie")])
+    # rows that repeat wholly have one text
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return rows.join(texts.select(F.col("node").alias("_node"), "text"), F.col("node") == F.col("_node")).drop("_node")
+
+    # sizes that are too far apart need no comparison
+    near = SIMILARITY[0] * F.least("size", "lead") >= SIMILARITY[1] * F.greatest("size", "lead")
+    close = members.where("leader <> node").where(near)
+    salts = stored(close.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("_salts")), "salts")
+    leads = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"), F.col("leader").alias("node"))
+    rows = close.join(salts, "leader").select("leader", F.pmod(F.xxhash64("node"), "_salts").cast("int").alias("salt"), "node").unionByName(leads)
+    rows = with_text(rows).withColumn("_follows", F.col("node") != F.col("leader"))
+    rows = rows.repartition(4 * parts, "leader", "salt").sortWithinPartitions("leader", "salt", "_follows", "node")
+    checked = stored(rows.select("leader", "salt", "node", "text").mapInArrow(_against_leader, "leader long, node long, linked boolean"), "checked")
+    links = checked.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    passed = checked.where("linked").select("leader", "node")
+    others = members.where("leader <> node").join(passed.withColumn("_linked", F.lit(True)), ["leader", "node"], "left").select("leader", "node", "size", F.col("_linked").isNull().alias("rest"))
+    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, 1).otherwise(0)) / BLOCK_DOCS), F.ceil(F.sum(F.when(own, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    many = others.groupBy("leader").agg(F.count("*").alias("_n"), blocks(F.col("rest")).alias("_rest"), blocks(~F.col("rest")).alias("_passed")).where("_n > 1 and _rest > 0")
+    place = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("_rest")).otherwise(F.col("_passed")))
+    own = (place + F.when(F.col("rest"), 0).otherwise(F.col("_rest"))).cast("int")
+    dealt = others.join(stored(many, "blocks"), "leader").select("leader", "node", own.alias("own"), (F.when(F.col("rest"), F.col("_rest") + F.col("_passed")).otherwise(F.col("_rest")) - 1).alias("_last"))
+    pairs = dealt.select("leader", "node", "own", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_other")).select("leader", F.least("own", "_other").alias("left"), F.greatest("own", "_other").alias("right"), "own", "node")
+    rows = with_text(pairs).select("leader", "left", "right", "node", "own", "text")
     rows = rows.repartition(4 * parts, "leader", "left", "right").sortWithinPartitions("leader", "left", "right")
-    return rows.mapInArrow(_link_blocks, "a long, b long")
+    return links.union(rows.mapInArrow(_link_blocks, "a long, b long"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_dedup, and tie of each row."""
+    sketched = stored(sketches(docs), "sketches")
+    named = sketched.where("doc_id is not null and set_id is not null")
+    first = F.min(F.struct("doc_id", "tie"))
+    classes = named.groupBy("set_id").agg(first.alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # a node is a distinct set; its number has no meaning, and is fixed by the table
+    signed = stored(classes.select(F.monotonically_increasing_id().alias("node"), "_first.doc_id", "_first.tie", "n_shingles", "set_id", "signature"), "signed")
+    joined = components(near_links(docs, signed)).withColumnRenamed("node", "_node")
+    rooted = stored(signed.join(joined, F.col("node") == F.col("_node"), "left").select("set_id", "doc_id", "node", F.coalesce("component", "node").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = rooted.join(smallest, "root").select(F.col("set_id").alias("_set"), "component_id")
+    out = sketched.join(roots, sketched.set_id == F.col("_set"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "tie")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -211,20 +281,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     part: component_id null, kept true. Rows that repeat a doc_id are judged each by its own text, and kept holds for all that
     carry the smallest id of their component (near_distinct leaves one). An empty table gives none; other columns are not read.
     """
-    sketched = stored(sketches(docs), "sketches")
-    named = sketched.where("doc_id is not null and set_id is not null")
-    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("first_id")), "classes")
-    firsts = named.join(classes.select(F.col("set_id").alias("_set"), "first_id"), [named.set_id == F.col("_set"), named.doc_id == F.col("first_id")], "left_semi")
-    signed = stored(firsts.select("doc_id", "n_shingles", "set_id", "signature").dropDuplicates(["doc_id", "set_id"]), "signed")
-    joined = components(near_links(docs, signed))
-    roots = classes.join(joined, classes.first_id == joined.node, "left").select(F.col("set_id").alias("_set"), F.coalesce("component", "first_id").alias("_root"))
-    roots = stored(roots, "roots")
-    out = sketched.join(roots, sketched.set_id == roots._set, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return _judged(docs).drop("tie")
 
 
 def near_distinct(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, all columns. Rows without a doc_id stay; rows that repeat a kept doc_id stay once for each text."""
-    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone._id, "left_anti")
+    """docs with one row of each component, all columns: that of the smallest doc_id, and of rows that share it the one whose
+    text has the smallest hash. Rows without a doc_id and rows without words stay."""
+    judged = stored(_judged(docs).where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "tie").agg(F.min("component_id").alias("component_id"), F.count("*").alias("_n")), "judged")
+    one = judged.where("doc_id = component_id").groupBy("doc_id").agg(F.min("tie").alias("_one"))
+    judged = judged.join(one.withColumnRenamed("doc_id", "_first"), F.col("doc_id") == F.col("_first"), "left")
+    gone = judged.where("_one is null or tie <> _one").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    again = judged.where("_n > 1 and tie = _one").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    key = (docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
+    on = lambda other: [key[0] == other["_id"], key[1] == other["_tie"]]
+    stays = docs.join(gone, on(gone), "left_anti")
+    alone = stays.join(again, on(again), "left_anti")
+    # rows that repeat wholly are few; each as one column, so that its own columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key[0].alias("_doc"), key[1].alias("_hash"))
+    rows = rows.join(again, [F.col("_doc") == F.col("_id"), F.col("_hash") == F.col("_tie")], "left_semi").dropDuplicates(["_doc", "_hash"])
+    return alone.unionByName(rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
