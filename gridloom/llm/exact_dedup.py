@@ -218,7 +218,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, wi
 def distinct_rows(docs: DataFrame) -> DataFrame:
     """docs without the copies, all columns: for each text the row with the smallest doc_id. Rows without a doc_id stay."""
     found = exact_dedup(docs)
-    stays = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
-    keyed = docs.where("doc_id is not null").withColumn("_key", sha256(normalised(F.col("text"))))
-    named = keyed.join(stays, [keyed.doc_id == stays._id, keyed._key == stays._key], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    stays = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash")).distinct()
+    # the row as one column, so that its own columns may have any names
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), sha256(normalised(docs["text"])).alias("_key"))
+    named = keyed.join(stays, [F.col("_doc") == F.col("_id"), F.col("_key") == F.col("_hash")], "left_semi").dropDuplicates(["_doc", "_key"])
+    return named.unionByName(keyed.where("_doc is null")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
