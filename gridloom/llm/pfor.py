@@ -31,32 +31,43 @@ BLOCK = 1024
 PERCENTILE = 97
 HEAD = struct.Struct("<4sIQQQ")
 #: A file is closed at so many ids, so that reading one back takes bounded memory.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 END_ID = 2
 
 
-def _turns(blocks: np.ndarray, size: int = 256) -> list[np.ndarray]:
-    """Blocks in turns, so that the arrays of single bits stay small."""
+def _turns(blocks: np.ndarray, size: int = 128) -> list[np.ndarray]:
+    """Blocks in turns, so that the arrays of a turn stay small."""
     return [blocks[at : at + size] for at in range(0, len(blocks), size)]
 
 
+def _lanes(width: int) -> list[tuple[int, int, int]]:
+    """Eight numbers fill `width` bytes. For each: its place, the 64-bit lane that it begins in, and its shift there."""
+    return [(k, k * width >> 6, k * width & 63) for k in range(8)]
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, BLOCK) numbers below 2 ** width -> (blocks, BLOCK * width / 8) bytes."""
-    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    eights = values.reshape(-1, 8).astype(np.uint64)
+    lanes = np.zeros((-(-width // 8) + 1, len(eights)), np.uint64)
+    for k, lane, shift in _lanes(width):
+        lanes[lane] |= eights[:, k] << np.uint64(shift)
+        if shift + width > 64:
+            lanes[lane + 1] |= eights[:, k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(lanes.T).view(np.uint8)[:, :width].reshape(len(values), -1)
 
 
 def _unpack(data: np.ndarray, width: int) -> np.ndarray:
-    """Each number is cut from the three bytes (five beyond 17 bits) that it begins in."""
-    n = len(data)
-    padded = np.zeros((n, data.shape[1] + 8), np.uint8)
-    padded[:, : data.shape[1]] = data
-    first = np.arange(BLOCK, dtype=np.int64) * width
-    at, shift = first >> 3, (first & 7).astype(np.uint64)
-    out = np.zeros((n, BLOCK), np.uint64)
-    for k in range((width + 7 + 7) // 8):
-        out |= padded[:, at + k].astype(np.uint64) << np.uint64(8 * k)
-    return ((out >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    padded = np.zeros((data.size // width, 8 * (-(-width // 8) + 1)), np.uint8)
+    padded[:, :width] = data.reshape(-1, width)
+    lanes = np.ascontiguousarray(padded.view(np.uint64).T)
+    out = np.empty((len(padded), 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k, lane, shift in _lanes(width):
+        found = lanes[lane] >> np.uint64(shift)
+        if shift + width > 64:
+            found |= lanes[lane + 1] << np.uint64(64 - shift)
+        out[:, k] = found & mask
+    return out.reshape(len(data), -1)
 
 
 def encode_file(doc_ids: list[int], documents: list[bytes]) -> bytes:
