@@ -57,7 +57,7 @@ pick = if(root, 1, 2)
 @query(
     "formula_ieee_edges",
     """
-WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity - 25.0 AS x, l_tax FROM lineitem WHERE l_quantity <= 30),
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity - 25.0 AS x, l_tax FROM lineitem),
 c AS (SELECT *, x / l_tax AS inverse, CASE WHEN x < 0 THEN CAST('nan' AS DOUBLE) ELSE sqrt(x) END AS root,
              CASE WHEN x < 0 THEN CAST('nan' AS DOUBLE) WHEN x = 0 THEN CAST('-inf' AS DOUBLE) ELSE ln(x) + log10(x) END AS logs FROM b)
 SELECT CASE WHEN isnan(inverse) THEN 'nan' WHEN isinf(inverse) THEN CASE WHEN inverse > 0 THEN 'inf' ELSE '-inf' END ELSE 'num' END AS inverse_kind,
@@ -71,7 +71,7 @@ FROM c GROUP BY ALL
 """,
 )
 def formula_ieee_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "lineitem").where("l_quantity <= 30").select((F.col("l_quantity") - 25.0).alias("x"), "l_tax")
+    base = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - 25.0).alias("x"), "l_tax")
     rows = evaluate_formulas(base, EDGES)
     kind = lambda c: F.when(F.isnan(c), "nan").when(F.col(c) == float("inf"), "inf").when(F.col(c) == float("-inf"), "-inf").otherwise("num")
     cut = F.when(F.isnan("cut"), -1000.0).otherwise(F.floor(F.col("cut") + 0.5).cast("double"))

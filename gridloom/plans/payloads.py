@@ -51,11 +51,11 @@ def curve_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flatten_shift",
-    f"WITH p AS (SELECT user_id, min(value) AS pick FROM events WHERE event_type = 'click' AND user_id % 4 <> 0 GROUP BY user_id) SELECT event_id, {rounded('value - coalesce(pick, 0)', 6)} AS depth, pick IS NULL AS parked FROM events LEFT JOIN p USING (user_id)",
+    f"WITH p AS (SELECT user_id, min(value) AS pick FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT event_id, {rounded('value - coalesce(pick, 0)', 6)} AS depth, pick IS NULL AS parked FROM events LEFT JOIN p USING (user_id)",
 )
 def flatten_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("well"), "event_id", F.col("value").alias("tvd"), F.col("event_type").alias("horizon"))
-    out = payload.flatten_shift(e.select("well", "event_id", "tvd"), e.where("well % 4 <> 0").select("well", "horizon", "tvd"), "click")
+    out = payload.flatten_shift(e.select("well", "event_id", "tvd"), e.select("well", "horizon", "tvd"), "click")
     return out.select("event_id", at_scale(F.col("depth"), 6).alias("depth"), "parked")
 
 

@@ -14,18 +14,18 @@ from .sql import NORMAL_INVERSE, UNIFORM, rounded
 _NAN = "-9999.0"
 
 
-def _knots(spark: SparkSession, sf_dir: str, users: str) -> tuple[DataFrame, DataFrame]:
+def _knots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each user's events are knots (seconds, value); a query every day and a half."""
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), "value")
     knots = e.select("user_id", (F.col("us") / 1e6).alias("x"), F.col("value").alias("y"))
-    queries = e.where(users).groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    queries = e.groupBy("user_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     queries = queries.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("qid"), (F.col("a") / 1e6).alias("a"), (F.col("b") / 1e6).alias("b"))
     return knots, queries.select("user_id", "qid", F.floor(F.col("a") + (F.col("b") - F.col("a")) * (F.col("qid") - 1) / 10.0).cast("double").alias("q"))
 
 
 _KNOT_SQL = """
 WITH e AS (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS x, value AS y FROM events),
-r AS (SELECT user_id, min(x) AS a, max(x) AS b FROM e WHERE user_id % 3 = 0 GROUP BY user_id),
+r AS (SELECT user_id, min(x) AS a, max(x) AS b FROM e GROUP BY user_id),
 q AS (SELECT user_id, CAST(range AS INT) AS qid, CAST(floor(a + (b - a) * (range - 1) / 10.0) AS DOUBLE) AS q FROM r, range(13)),
 p AS (SELECT q.user_id, qid, q, e.x AS px, e.y AS py FROM q ASOF LEFT JOIN e ON q.user_id = e.user_id AND q.q >= e.x),
 n AS (SELECT p.*, e.x AS nx, e.y AS ny FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.q <= e.x)
@@ -42,7 +42,7 @@ _METHODS = {
 def _interp(method: str, sql: str | None) -> None:
     @query(f"interp_{method}", sql and f"{_KNOT_SQL} SELECT user_id, qid, coalesce({rounded(sql, 5)}, {_NAN}) AS v FROM n")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        knots, queries = _knots(spark, sf_dir, "user_id % 3 = 0" if sql else "true")  # those of _KNOT_SQL, or all
+        knots, queries = _knots(spark, sf_dir)
         name, _, extra = method.partition("_")
         out = interp.interp1d(knots, queries, ["user_id"], name, extrapolate=bool(extra))
         return out.select("user_id", "qid", at_scale(F.when(F.isnan("v"), float(_NAN)).otherwise(F.col("v")), 5).alias("v"))
@@ -74,7 +74,7 @@ def lag1_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUILD = synth.WellProfile.build_hold(500.0, 4.0, 60.0, 395.0)
-_PROFILES = {"vertical": synth.WellProfile.vertical(), "build_hold": _BUILD, "build_hold_drop": _BUILD.with_drop(1500.0, 3.0, 40.0)}
+PROFILES = {"vertical": synth.WellProfile.vertical(), "build_hold": _BUILD, "build_hold_drop": _BUILD.with_drop(1500.0, 3.0, 40.0)}
 _ANGLES = {
     "vertical": ("0.0", "0.0"),
     "build_hold": ("CASE WHEN md <= 500 THEN 0.0 WHEN md >= 950 THEN 60.0 ELSE (md - 500) * (4.0 / 30) END", "CASE WHEN md <= 500 THEN 0.0 ELSE 35.0 END"),
@@ -82,7 +82,7 @@ _ANGLES = {
 }
 
 
-def _station_sql(kind: str) -> str:
+def station_sql(kind: str) -> str:
     incl, azim = _ANGLES[kind]
     return f"""WITH s AS (SELECT CAST(range AS INT) AS seq, least(range * 30.0, 2345.0)::DOUBLE AS md FROM range(80)),
 a AS (SELECT seq, md, ({incl})::DOUBLE AS incl, ({azim})::DOUBLE AS azim FROM s),
@@ -92,22 +92,23 @@ h AS (SELECT *, d / 2 * CASE WHEN dl < 1e-9 THEN 1.0 ELSE tan(dl / 2) / (dl / 2)
 """
 
 
-def _trajectory(kind: str) -> None:
-    sums = {"x": "1000.0 + coalesce(sum(h * (sin(i1) * sin(a1) + sin(i2) * sin(a2))) OVER w, 0)", "y": "2000.0 + coalesce(sum(h * (sin(i1) * cos(a1) + sin(i2) * cos(a2))) OVER w, 0)", "z": "25.0 - coalesce(sum(h * (cos(i1) + cos(i2))) OVER w, 0)", "tvd": "coalesce(sum(h * (cos(i1) + cos(i2))) OVER w, 0)"}
+SUMS = {"x": "1000.0 + coalesce(sum(h * (sin(i1) * sin(a1) + sin(i2) * sin(a2))) OVER w, 0)", "y": "2000.0 + coalesce(sum(h * (sin(i1) * cos(a1) + sin(i2) * cos(a2))) OVER w, 0)", "z": "25.0 - coalesce(sum(h * (cos(i1) + cos(i2))) OVER w, 0)", "tvd": "coalesce(sum(h * (cos(i1) + cos(i2))) OVER w, 0)"}
+
 
-    @query(f"trajectory_{kind}", f"{_station_sql(kind)} SELECT seq, md, {', '.join(f'{rounded(v, 3)} AS {k}' for k, v in sums.items())}, {rounded('incl', 4)} AS incl, {rounded('azim', 4)} AS azim FROM h WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def _trajectory(kind: str) -> None:
+    @query(f"trajectory_{kind}", f"{station_sql(kind)} SELECT seq, md, {', '.join(f'{rounded(v, 3)} AS {k}' for k, v in SUMS.items())}, {rounded('incl', 4)} AS incl, {rounded('azim', 4)} AS azim FROM h WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = synth.trajectory(spark, (1000.0, 2000.0), 25.0, 2345.0, 30.0, _PROFILES[kind])
+        t = synth.trajectory(spark, (1000.0, 2000.0), 25.0, 2345.0, 30.0, PROFILES[kind])
         return t.select("seq", "md", *[at_scale(F.col(c), 3).alias(c) for c in ("x", "y", "z", "tvd")], *[at_scale(F.col(c), 4).alias(c) for c in ("incl", "azim")])
 
 
-for _kind in _PROFILES:
+for _kind in PROFILES:
     _trajectory(_kind)
 
 
-@query("max_dogleg", f"{_station_sql('build_hold_drop')} SELECT {rounded('max(degrees(dl) / d * 30)', 4)} AS dls FROM t")
+@query("max_dogleg", f"{station_sql('build_hold_drop')} SELECT {rounded('max(degrees(dl) / d * 30)', 4)} AS dls FROM t")
 def max_dogleg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = synth.trajectory(spark, (1000.0, 2000.0), 25.0, 2345.0, 30.0, _PROFILES["build_hold_drop"])
+    t = synth.trajectory(spark, (1000.0, 2000.0), 25.0, 2345.0, 30.0, PROFILES["build_hold_drop"])
     return synth.max_dogleg_severity(t).select(at_scale(F.col("dls"), 4).alias("dls"))
 
 

@@ -281,14 +281,14 @@ def sgs_unconditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.sgs_unconditional(spark.range(4).select(F.col("id").alias("seed")), TARGET, MODEL, 10.0, 4.0, 8, 15.0)
 
 
-_DOME = Lattice(0.0, 0.0, 10.0, 10.0, 20, 20)
-_DOME_V = "100.0 * exp(-0.5 * ((x - 95.0) / 47.5 * ((x - 95.0) / 47.5) + (y - 95.0) / 47.5 * ((y - 95.0) / 47.5))) + 5.0 * (x / 190.0 - 0.5)"
-_DOME_SQL = f"f AS (SELECT i, j, x, y, {_DOME_V} AS v FROM (SELECT CAST(range // 20 AS INT) AS i, CAST(range % 20 AS INT) AS j, (range // 20) * 10.0::DOUBLE AS x, (range % 20) * 10.0::DOUBLE AS y FROM range(400)))"
+DOME = Lattice(0.0, 0.0, 10.0, 10.0, 20, 20)
+DOME_V = "100.0 * exp(-0.5 * ((x - 95.0) / 47.5 * ((x - 95.0) / 47.5) + (y - 95.0) / 47.5 * ((y - 95.0) / 47.5))) + 5.0 * (x / 190.0 - 0.5)"
+DOME_SQL = f"f AS (SELECT i, j, x, y, {DOME_V} AS v FROM (SELECT CAST(range // 20 AS INT) AS i, CAST(range % 20 AS INT) AS j, (range // 20) * 10.0::DOUBLE AS x, (range % 20) * 10.0::DOUBLE AS y FROM range(400)))"
 
 
-@query("dome_surface", f"WITH {_DOME_SQL} SELECT i, j, {rounded('v', 6)} AS v FROM f")
+@query("dome_surface", f"WITH {DOME_SQL} SELECT i, j, {rounded('v', 6)} AS v FROM f")
 def dome_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.dome_surface(spark, _DOME, 100.0, 1.0, 5.0).select("i", "j", *_r("v"))
+    return synth.dome_surface(spark, DOME, 100.0, 1.0, 5.0).select("i", "j", *_r("v"))
 
 
 def _segment_sql() -> str:
@@ -301,33 +301,33 @@ def _segment_sql() -> str:
             (p1, q1), (p2, q2) = edge[pair[0]], edge[pair[1]]
             values = [cross(corners[p1], corners[q1], "x"), cross(corners[p1], corners[q1], "y"), cross(corners[p2], corners[q2], "x"), cross(corners[p2], corners[q2], "y")]
             out.append(f"SELECT a.i, a.j, {part} AS part, {', '.join(f'{rounded(v, 4)} AS {n}' for v, n in zip(values, ('x1', 'y1', 'x2', 'y2'), strict=True))} FROM f a JOIN f b ON b.i = a.i + 1 AND b.j = a.j JOIN f c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN f d ON d.i = a.i AND d.j = a.j + 1 WHERE (CASE WHEN a.v > 50 THEN 1 ELSE 0 END + CASE WHEN b.v > 50 THEN 2 ELSE 0 END + CASE WHEN c.v > 50 THEN 4 ELSE 0 END + CASE WHEN d.v > 50 THEN 8 ELSE 0 END) = {case}")
-    return f"WITH {_DOME_SQL} " + " UNION ALL ".join(out)
+    return f"WITH {DOME_SQL} " + " UNION ALL ".join(out)
 
 
 @query("contour_segments", _segment_sql())
 def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.contour_segments(synth.dome_surface(spark, _DOME, 100.0, 1.0, 5.0), _DOME, 50.0).select("i", "j", "part", *_r("x1", "y1", "x2", "y2", digits=4))
+    return synth.contour_segments(synth.dome_surface(spark, DOME, 100.0, 1.0, 5.0), DOME, 50.0).select("i", "j", "part", *_r("x1", "y1", "x2", "y2", digits=4))
 
 
-@query("surface_crest", f"WITH {_DOME_SQL} SELECT i, j, {rounded('v', 6)} AS v FROM f ORDER BY f.v, i, j LIMIT 1")
+@query("surface_crest", f"WITH {DOME_SQL} SELECT i, j, {rounded('v', 6)} AS v FROM f ORDER BY f.v, i, j LIMIT 1")
 def surface_crest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.crest(synth.dome_surface(spark, _DOME, 100.0, 1.0, 5.0)).select("i", "j", *_r("v"))
+    return synth.crest(synth.dome_surface(spark, DOME, 100.0, 1.0, 5.0)).select("i", "j", *_r("v"))
 
 
-@query("stacked_surfaces", f"WITH {_DOME_SQL} SELECT CAST(k.range AS INT) AS ord, i, j, {rounded('v + 5.0 * (k.range + 1) + greatest(i - 10, 0) * (k.range * (k.range + 1) / 2)', 6)} AS v FROM f, range(3) k")
+@query("stacked_surfaces", f"WITH {DOME_SQL} SELECT CAST(k.range AS INT) AS ord, i, j, {rounded('v + 5.0 * (k.range + 1) + greatest(i - 10, 0) * (k.range * (k.range + 1) / 2)', 6)} AS v FROM f, range(3) k")
 def stacked_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = synth.dome_surface(spark, _DOME, 100.0, 1.0, 5.0)
-    iso = spark.range(3).select(F.col("id").cast("int").alias("ord")).join(_DOME.nodes(spark)).select("ord", "i", "j", (5.0 + F.greatest(F.col("i") - 10, F.lit(0)) * F.col("ord")).alias("v"))
+    top = synth.dome_surface(spark, DOME, 100.0, 1.0, 5.0)
+    iso = spark.range(3).select(F.col("id").cast("int").alias("ord")).join(DOME.nodes(spark)).select("ord", "i", "j", (5.0 + F.greatest(F.col("i") - 10, F.lit(0)) * F.col("ord")).alias("v"))
     return synth.stacked_surfaces(top, iso).select("ord", "i", "j", *_r("v"))
 
 
 @query(
     "tops_from_surface",
-    f"WITH {_DOME_SQL}, w AS (SELECT c_custkey AS well, (c_custkey * 37 % 1890) / 10.0 AS x, (c_custkey * 91 % 1890) / 10.0 AS y FROM customer WHERE c_custkey % 5 = 0), c AS (SELECT well, w.x, w.y, least(floor(w.x / 10), 18) + a AS i, least(floor(w.y / 10), 18) + b AS j, (CASE WHEN a = 1 THEN w.x / 10 - least(floor(w.x / 10), 18) ELSE 1 - (w.x / 10 - least(floor(w.x / 10), 18)) END) * (CASE WHEN b = 1 THEN w.y / 10 - least(floor(w.y / 10), 18) ELSE 1 - (w.y / 10 - least(floor(w.y / 10), 18)) END) AS wt FROM w, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)) SELECT well, c.x, c.y, {rounded('sum(wt * v)', 5)} AS top FROM c JOIN f USING (i, j) GROUP BY well, c.x, c.y",
+    f"WITH {DOME_SQL}, w AS (SELECT c_custkey AS well, (c_custkey * 37 % 1890) / 10.0 AS x, (c_custkey * 91 % 1890) / 10.0 AS y FROM customer), c AS (SELECT well, w.x, w.y, least(floor(w.x / 10), 18) + a AS i, least(floor(w.y / 10), 18) + b AS j, (CASE WHEN a = 1 THEN w.x / 10 - least(floor(w.x / 10), 18) ELSE 1 - (w.x / 10 - least(floor(w.x / 10), 18)) END) * (CASE WHEN b = 1 THEN w.y / 10 - least(floor(w.y / 10), 18) ELSE 1 - (w.y / 10 - least(floor(w.y / 10), 18)) END) AS wt FROM w, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)) SELECT well, c.x, c.y, {rounded('sum(wt * v)', 5)} AS top FROM c JOIN f USING (i, j) GROUP BY well, c.x, c.y",
 )
 def tops_from_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wells = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("well"), ((F.col("c_custkey") * 37 % 1890) / 10.0).alias("x"), ((F.col("c_custkey") * 91 % 1890) / 10.0).alias("y"))
-    return synth.tops_from_surface(wells, synth.dome_surface(spark, _DOME, 100.0, 1.0, 5.0), _DOME, 0.0, 1).select("well", "x", "y", *_r("top", digits=5))
+    wells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("well"), ((F.col("c_custkey") * 37 % 1890) / 10.0).alias("x"), ((F.col("c_custkey") * 91 % 1890) / 10.0).alias("y"))
+    return synth.tops_from_surface(wells, synth.dome_surface(spark, DOME, 100.0, 1.0, 5.0), DOME, 0.0, 1).select("well", "x", "y", *_r("top", digits=5))
 
 
 @query("isochore")
