@@ -221,53 +221,64 @@ def exceedance_moments(f: LogitNormal, cutoff: float) -> tuple[float, float, flo
     return p, float((w * x).sum()), float((w * x * x).sum())
 
 
+def _net(sand: LogitNormal, shale: tuple[float, float, float], cutoff: float, ntg: float) -> tuple[float, float, float]:
+    """Of a mix of sand and shale (its moments beyond the cutoff) whose part beyond the cutoff is ntg: the sand fraction, and the
+    mean and deviation of what lies beyond."""
+    p, q, r = exceedance_moments(sand, cutoff)
+    fraction = (ntg - shale[0]) / (p - shale[0])
+    mean = (fraction * q + (1 - fraction) * shale[1]) / ntg
+    return fraction, mean, math.sqrt(max((fraction * r + (1 - fraction) * shale[2]) / ntg - mean * mean, 0.0))
+
+
 def calibrate(spec: PetroZoneSpec) -> tuple[float, LogitNormal, LogitNormal]:
-    """Sand fraction, sand and shale transforms that meet the targets of net rock, by damped Newton steps from the net targets."""
+    """Sand fraction, sand and shale transforms that meet the targets of net rock.
+
+    The net-to-gross gives the sand fraction for any sand, which leaves its location a and scale b. For a given b the net mean
+    rises with a, from where all rock is sand; so a follows from the mean by bisection, and then b from the net deviation, which
+    rises with b along those a.
+    """
     shale = LogitNormal.match(*spec.nonnet_por)
-    ph, qh, rh = exceedance_moments(shale, spec.cutoff)
-    tau, (mean, sd) = spec.ntg, spec.net_por
-    _need(tau > ph, f"ntg {tau} is not above {ph:.4f}, the part of shale beyond the cutoff")
-    f0 = (tau - ph) / (1 - ph)
-    level = (mean * tau - (1 - f0) * qh) / f0
-    _need(spec.cutoff < level < 1, f"the net mean {mean} cannot be reached at ntg {tau}: sand would be at {level:.4f}")
-    least = math.sqrt(max((f0 * level * level + (1 - f0) * rh) / tau - mean * mean, 0.0))
-    _need(sd > least, f"the net deviation {sd} is not above {least:.4f}, what the shale beyond the cutoff makes alone")
-
-    def miss(a: float, b: float) -> tuple[np.ndarray, float] | None:
-        ps, qs, rs = exceedance_moments(LogitNormal(a, b), spec.cutoff)
-        if abs(ps - ph) < 1e-12:
+    beyond = exceedance_moments(shale, spec.cutoff)
+    _need(spec.ntg > beyond[0], f"ntg {spec.ntg} is not above {beyond[0]:.4f}, the part of shale beyond the cutoff")
+    mean, sd = spec.net_por
+    edge, deviate = math.log(spec.cutoff / (1 - spec.cutoff)), STANDARD.inv_cdf(spec.ntg)
+    net = lambda a, b: _net(LogitNormal(a, b), beyond, spec.cutoff, spec.ntg)
+
+    def location(b: float) -> float | None:
+        """The a that meets the mean; None where all rock would be sand and the mean still too high."""
+        low = edge + b * deviate
+        low += 1e-9 * (1 + abs(low))
+        if net(low, b)[1] > mean:
             return None
-        f = (tau - ph) / (ps - ph)
-        m = (f * qs + (1 - f) * qh) / tau
-        return np.array([m - mean, math.sqrt(max((f * rs + (1 - f) * rh) / tau - m * m, 0.0)) - sd]), f
-
-    start = LogitNormal.match(mean, sd)
-    at, h = np.array([start.a, start.b]), 1e-5
-    now = miss(*at)
-    for _ in range(200):
-        _need(now is not None, "the sand distribution is degenerate")
-        if np.abs(now[0]).max() < 1e-10 and 1e-9 < now[1] < 1 - 1e-9:
-            break
-        sides = [(miss(at[0] + h, at[1]), miss(at[0] - h, at[1])), (miss(at[0], at[1] + h), miss(at[0], max(at[1] - h, 1e-4)))]
-        _need(all(x is not None for pair in sides for x in pair), "the sand distribution is degenerate")
-        slope = np.stack([(up[0] - down[0]) / (2 * h) for up, down in sides], axis=1)
-        try:
-            move = -np.linalg.solve(slope, now[0])
-        except np.linalg.LinAlgError:
-            break
-        size = 1.0
-        for _ in range(50):
-            to = np.array([at[0] + size * move[0], min(max(at[1] + size * move[1], 1e-4), 60.0)])
-            new = miss(*to)
-            if new is not None and 1e-9 < new[1] < 1 - 1e-9 and np.hypot(*new[0]) < np.hypot(*now[0]):
-                at, now = to, new
+        high = low + 1.0
+        while net(high, b)[1] < mean:
+            _need(high < 60, f"the net mean {mean} cannot be reached at ntg {spec.ntg}")
+            high += 2 * (high - low)
+        for _ in range(80):
+            middle = (low + high) / 2
+            if middle in (low, high):
                 break
-            size /= 2
-        else:
-            break
-    _need(np.abs(now[0]).max() < 1e-7, "the targets could not be met")
-    _need(1e-9 < now[1] < 1 - 1e-9, f"ntg {tau} cannot be reached with this net porosity")
-    return now[1], LogitNormal(*at), shale
+            low, high = (middle, high) if net(middle, b)[1] < mean else (low, middle)
+        return (low + high) / 2
+
+    def too_wide(b: float) -> bool:
+        a = location(b)
+        return a is None or net(a, b)[2] > sd
+
+    narrow, wide = 1e-3, 1.0
+    _need(location(narrow) is not None, f"the net mean {mean} cannot be reached at ntg {spec.ntg}")
+    _need(not too_wide(narrow), f"the net deviation {sd} is below what the shale beyond the cutoff makes alone")
+    while not too_wide(wide):
+        narrow, wide = wide, 2 * wide
+        _need(wide <= 64, f"the net deviation {sd} cannot be reached")
+    for _ in range(60):
+        middle = (narrow + wide) / 2
+        narrow, wide = (narrow, middle) if too_wide(middle) else (middle, wide)
+    a = location(narrow)
+    _need(a is not None, "the targets could not be met")
+    fraction, found_mean, found_sd = net(a, narrow)
+    _need(max(abs(found_mean - mean), abs(found_sd - sd)) < 1e-7 and 0 < fraction < 1, "the targets could not be met")
+    return fraction, LogitNormal(a, narrow), shale
 
 
 def petro_curves(spark: SparkSession, spec: PetroZoneSpec, step: float, n: int, seed: int, wells: int = 1) -> DataFrame:
