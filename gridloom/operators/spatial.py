@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..sources.shared import stored
 
 
 def cell(x: Column, size: float) -> Column:
@@ -49,13 +50,13 @@ def nearest(targets: DataFrame, points: DataFrame, target_key: list[str], first_
     """(target_key, p, d2): the nearest point of each target, however far.
 
     Rings grow: targets with a point within the radius are done, the others go on with twice the radius. A round costs a join of
-    those left, whose size is read to decide whether to go on.
+    those left; it is written, so that the plan of the next one begins with it.
     """
     left, found, radius = targets, None, first_radius
     for _ in range(most_rounds):
-        near = knn_within(left, points, radius, 1, target_key, tie).select(*[F.col(f"t.{c}").alias(c) for c in target_key], "p", "d2")
+        near = stored(knn_within(left, points, radius, 1, target_key, tie).select(*[F.col(f"t.{c}").alias(c) for c in target_key], "p", "d2"), "nearest")
         found = near if found is None else found.unionByName(near)
-        left = left.join(near.select(*target_key), target_key, "left_anti")
+        left = stored(left.join(near.select(*target_key), target_key, "left_anti"), "left")
         if left.isEmpty():
             return found
         radius *= 2
