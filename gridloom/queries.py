@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from .plans import columns, generated, payloads, series, space  # noqa: E402, F401  they register their queries
+from .plans import columns, files, generated, payloads, series, space  # noqa: E402, F401  they register their queries
