@@ -116,7 +116,7 @@ class Table:
     def build(cls, rows: dict[str, np.ndarray], n: int) -> Table:
         hashes = cls.hash(list(rows))
         order = np.argsort(hashes, kind="stable")
-        return cls(hashes[order], np.array([*rows.values()], np.float32).reshape(-1, n)[order])
+        return cls(hashes[order], np.array([*rows.values()], np.float32).reshape(len(rows), n)[order])
 
     def find(self, texts: list[str]) -> np.ndarray:
         """For each text its row, or -1."""
