@@ -122,6 +122,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_BLOCK = 1 << 15
+_ODD = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_VALUE[65:91] = _VALUE[97:123]
+_POWER = np.cumprod(np.r_[np.uint64(1), np.full(_BLOCK - 1, _ODD, np.uint64)])
+_BACK = np.cumprod(np.r_[np.uint64(1), np.full(_BLOCK - 1, pow(_ODD, -1, 1 << 64), np.uint64)])
+
+
+def text_hashes(text: str | None) -> np.ndarray:
+    """The 64-bit hashes of words_of(text), in order, without a dict: a word's is a polynomial over its bytes, the difference of two
+    running sums, shifted back to the word's start. The sums begin anew after _BLOCK bytes; a longer word has a hash of its own."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
+    blank = np.r_[True, _BLANK[data], True]
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = starts[at]
+        end = int(np.searchsorted(ends, first + _BLOCK, "right"))
+        if end == at:
+            out[at] = xxhash.xxh3_64_intdigest(data[first : ends[at]].tobytes().lower())
+            at += 1
+            continue
+        part = _VALUE[data[first : ends[end - 1]]]
+        part *= _POWER[: len(part)]
+        sums = np.r_[np.uint64(0), np.cumsum(part)]
+        left, right = starts[at:end] - first, ends[at:end] - first
+        out[at:end] = mix((sums[right] - sums[left]) * _BACK[left])
+        at = end
+    return out
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash for each run of k consecutive words, in order; none where there are fewer."""
     n = len(hashes) - k + 1
