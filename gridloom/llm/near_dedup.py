@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, shingle_set, stored, task_count, word_hashes, words_of
+from .common import hash_words, mix, shingle_set, stored, task_count, text_hashes
 from .components import components
 
 WORDS = 5
@@ -36,6 +36,8 @@ BITS = 16
 SIMILARITY = (100, 85)
 #: A block of a family: so many documents and shingles at most (a longer document is a block of its own).
 BLOCK_DOCS, BLOCK_SHINGLES = 768, 400_000
+#: 64-bit words of the filter that keeps texts that nothing compares out of the shuffle.
+FILTER_WORDS = 1 << 20
 
 SKETCH = "doc_id long, tie long, n_shingles long, set_id binary, signature binary"
 
@@ -66,7 +68,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, names, signatures = [], [], []
         for text in batch.column(2):
-            shingles = shingle_set(word_hashes.of(words_of(text.as_py())), WORDS)
+            shingles = shingle_set(text_hashes(text.as_py()), WORDS)
             sizes.append(len(shingles))
             names.append(set_id(shingles) if len(shingles) else None)
             signatures.append(signature(shingles).tobytes() if len(shingles) else None)
@@ -160,7 +162,7 @@ def _against_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         out: list[tuple[int, int, bool]] = []
         for leader, salt, node, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-            shingles = shingle_set(word_hashes.of(words_of(text.as_py())), WORDS)
+            shingles = shingle_set(text_hashes(text.as_py()), WORDS)
             leader, salt, node = leader.as_py(), salt.as_py(), node.as_py()
             if (leader, salt) != group:
                 group, lead = (leader, salt), shingles
@@ -179,7 +181,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close():
         if len(ids) > 1:
-            links.extend(forest(np.array(ids, np.int64), [shingle_set(word_hashes.of(words_of(t)), WORDS) for t in texts], np.array(sides)))
+            links.extend(forest(np.array(ids, np.int64), [shingle_set(text_hashes(t), WORDS) for t in texts], np.array(sides)))
 
     def batch_of():
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -216,6 +218,18 @@ def families(signed: DataFrame) -> DataFrame:
     return stored(keyed.join(buckets, "key").select("leader", "node").distinct(), "families")
 
 
+def _passing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts whose (doc_id, tie) may be in wanted: a bit set of FILTER_WORDS rows at most, whatever the input, is broadcast.
+    Rows that pass by chance are left to the join that follows; a full filter lets all pass."""
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        h = F.xxhash64("doc_id", "tie")
+        return rows.withColumn("_slot", F.pmod(h, F.lit(FILTER_WORDS))).withColumn("_bit", F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id, tie), 20), 64) as int))"))
+
+    bits = hashed(wanted).groupBy(F.col("_slot").alias("_at")).agg(F.bit_or("_bit").alias("_bits"))
+    return hashed(texts).join(F.broadcast(bits), F.col("_slot") == F.col("_at")).where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_at", "_bits")
+
+
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of distinct sets that reach SIMILARITY, enough of them to span every component."""
     parts = task_count(docs.sparkSession)
@@ -225,7 +239,7 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     members = members.join(size, F.col("leader") == F.col("_node")).withColumnRenamed("_size", "lead").drop("_node")
     members = stored(members, "members")
     wanted = stored(members.where("leader <> node").select(F.explode(F.array("leader", "node")).alias("node")).distinct().join(signed.select("node", "doc_id", "tie"), "node"), "candidates")
-    texts = _texts(docs).join(wanted.select("node", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), [F.col("doc_id") == F.col("_id"), F.col("tie") == F.col("_tie")])
+    texts = _passing(_texts(docs), wanted).join(wanted.select("node", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), [F.col("doc_id") == F.col("_id"), F.col("tie") == F.col("_tie")])
     # rows that repeat wholly have one text
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
