@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import packing, pfor
+from gridloom.llm.common import text_hashes, words_of
 from gridloom.llm.tokens import Encoder, vocabulary_path
 
 ODD = ["don't, I'll. it's: x.y 3.5! Ⅷ. é. É!! é. İa. ΑΣ. foo<|endoftext|>bar a b \x1c x\x1fy <|ENDOFTEXT|> ª. º, Größe$$$ ÑANDÚ### naïve* l'été", "", None, " \n ", "a" * 3000, "ĳ ŉ ſ ǆ ß ẞ", "...!!! $$$ #a# a#b c*d", "日本語。text", "Áb é.", "x" * 50 + "!" * 50]
@@ -105,3 +106,15 @@ def test_pack_documents(docs, rows, encoder, nothing):
         totals[r.sequence_id] += r.length
     assert all(t <= 2048 for t in totals.values())
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_word_hashes_of_texts():
+    """Equal words have equal hashes wherever they stand, and other words have others; words longer than a block as well."""
+    texts = [None, "", " \n", "a", " A\x0bb c\n", "\ud800 q é É", "x" * 40_000 + " Ab " + "y " * 40_000 + "X" * 40_000, "ab ba aab " * 9]
+    seen: dict[bytes, int] = {}
+    for text in texts:
+        words, hashes = words_of(text), text_hashes(text)
+        assert len(words) == len(hashes)
+        for word, h in zip(words, hashes.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
