@@ -41,9 +41,19 @@ def within(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
 
 
 def knn_within(targets: DataFrame, points: DataFrame, radius: float, k: int, target_key: list[str], tie: str = "pid") -> DataFrame:
-    """`within`, the k nearest of each target, with rank from 1; equal distances go by `tie`."""
+    """`within`, the k nearest of each target, with rank from 1; equal distances go by `tie`.
+
+    Pairs are of places, not of rows: of the points at one place the first k by `tie` come before the others for every target, and
+    targets at one place have the same neighbours. So rows that repeat places add none to the pairs.
+    """
+    here = Window.partitionBy("x", "y").orderBy(tie)
+    first = points.withColumn("_rank", F.row_number().over(here)).where(F.col("_rank") <= k).drop("_rank")
+    near = within(targets.select("x", "y").distinct(), first, radius)
+    place = Window.partitionBy("t.x", "t.y").orderBy("d2", f"p.{tie}")
+    near = near.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= k).select(F.col("t.x").alias("_x"), F.col("t.y").alias("_y"), "p", "d2")
+    pairs = targets.select(F.struct(*targets.columns).alias("t")).join(near, (F.col("t.x") == F.col("_x")) & (F.col("t.y") == F.col("_y"))).select("t", "p", "d2")
     order = Window.partitionBy(*[F.col(f"t.{c}") for c in target_key]).orderBy("d2", F.col(f"p.{tie}"))
-    return within(targets, points, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(targets: DataFrame, points: DataFrame, target_key: list[str], first_radius: float, tie: str = "pid", most_rounds: int = 40) -> DataFrame:

@@ -54,6 +54,37 @@ def test_pairs_match_brute_force(spark, scatter):
     assert {(r.pid, r.q) for r in pairs} == want
 
 
+def test_knn_of_repeated_places(spark):
+    """Rows at one place add no pairs: 400 targets and 400 points at 4 places each would make 160,000."""
+    rows = lambda key, n, shift: spark.range(n).select(F.col("id").alias(key), (F.col("id") % 2).cast("double").alias("x"), (F.floor(F.col("id") / 2) % 2 + shift).cast("double").alias("y"))
+    targets, points = rows("tid", 400, 0.0), rows("pid", 400, 0.25)
+    made = spatial.knn_within(targets, points, 5.0, 3, ["tid"]).select("t.tid", "p.pid", "d2", "rank")
+    at, to = ({r[0]: (r.x, r.y) for r in df.collect()} for df in (targets, points))
+    want = {}
+    for t, (x, y) in at.items():
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, p) for p, (a, b) in to.items())[:3]
+        want |= {(t, k + 1): (p, d) for k, (d, p) in enumerate(near)}
+    assert {(r.tid, r["rank"]): (r.pid, r.d2) for r in made.collect()} == want
+    metrics = made._jdf.queryExecution().executedPlan()
+    joined = [int(n) for n in _rows_of_joins(metrics)]
+    assert joined and max(joined) <= 400 * 3
+
+
+def _rows_of_joins(plan):
+    """Rows out of each join of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+        name = plan.nodeName()
+    if "Join" in name and plan.metrics().contains("numOutputRows"):
+        yield plan.metrics().apply("numOutputRows").value()
+    if "QueryStage" in name:
+        yield from _rows_of_joins(plan.plan())
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _rows_of_joins(children.apply(k))
+
+
 def test_min_curvature(spark, scatter):
     lattice = Lattice(0.0, 0.0, 2.0, 2.0, 11, 11)
     plane = np.c_[scatter[:, :2], 3 + 0.5 * scatter[:, 0] - 0.2 * scatter[:, 1]]
