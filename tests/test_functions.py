@@ -163,3 +163,23 @@ def test_empty_input_is_an_error():
 
     with pytest.raises(EmptyInput):
         min_curvature_np(np.empty((0, 3)), Lattice(0, 0, 1, 1, 3, 3))
+
+
+def _whole_windows(df):
+    """The windows of a plan that are not over ranges."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in text.splitlines() if "Window [" in line and "windowspecdefinition(" in line and "_part#" not in line]
+
+
+def test_csr_offsets_by_ranges(spark):
+    lines = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), (F.col("id") % 7).alias("n"))
+    found = payload.csr_offsets(lines, "k", "n")
+    assert not _whole_windows(found)  # no window of all rows
+    at = 0
+    for r in sorted(found.collect()):
+        assert (r.offset, found.columns) == (at, ["k", "n", "offset"])
+        at += r.n
+    assert at == sum(k % 7 for k in range(5000))
+    assert payload.csr_offsets(lines.limit(0), "k", "n").collect() == []
+    ids = payload.vertex_ids(spark.range(3000).select((F.col("id") % 1000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z")))
+    assert {(r.x, r.nid) for r in ids.collect()} == {(float(k), k) for k in range(1000)} and not _whole_windows(ids)
