@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,37 @@ def test_stats_values(spark):
         stats.percentile(F.col("v"), 101)
 
 
+def test_percentiles_by_ranges(spark):
+    """Groups that lie in many ranges, in a part of one, and of null; weights of 0, values that come again, halves of weights at the ends."""
+    r = np.random.default_rng(3)
+    rows = [(g, float(v), float(w)) for g, n in ((1, 4000), (2, 3), (None, 900), (4, 1)) for v, w in zip(r.integers(0, n, n) / 4, r.integers(0 if n > 3 else 1, 4, n), strict=True)]
+    df = spark.createDataFrame([*rows, (5, None, 1.0)], "g int, v double, w double")
+    ps = [0, 0.01, 10, 25, 33.3, 50, 75, 99.99, 100]
+    plain = stats.percentiles(df, "v", ["g"], ps)
+    weighted = stats.weighted_percentiles(df, "v", "w", ["g"], ps)
+    for found in (plain, weighted):  # windows are over sums of ranges, or over the range that holds what is asked for
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "_part#" in text and "percentile(" not in text
+    plain, weighted = ({(x.g, x.p): x.v for x in found.collect()} for found in (plain, weighted))
+    for g in (1, 2, None, 4):
+        v, w = np.array(sorted((v, w) for k, v, w in rows if k == g)).T
+        at = (np.cumsum(w) - w / 2) / w.sum() if w.sum() else np.zeros(len(w))
+        for p in ps:
+            assert plain[g, p] == pytest.approx(np.percentile(v, p))
+            if w.sum():
+                k = np.flatnonzero(at < p / 100)
+                k = k[-1] if len(k) else -1
+                want = v[0] if k < 0 else v[-1] if k + 1 == len(v) else v[k] + (p / 100 - at[k]) / (at[k + 1] - at[k]) * (v[k + 1] - v[k])
+                assert weighted[g, p] == pytest.approx(want), (g, p)
+    assert len(plain) == 4 * len(ps)
+    d = {x.g: x for x in stats.describe(df, "v", ["g"]).collect()}
+    assert (d[5].n, d[5].median) == (0, None) and d[None].median == plain[None, 50]
+    whole = stats.describe(df, "v", []).first()
+    assert whole.n == len(rows) and whole.median == pytest.approx(np.median([x[1] for x in rows]))
+    for found in (stats.describe(df, "v", ["g"]), stats.reservoir_summary(df, "v", ["g"])):  # no aggregate holds a group's values
+        assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_aggregate(spark):
     rows = [("a", 0, 3.0), ("a", 1, 1.0), ("a", 2, 2.0), ("b", 0, 10.0), ("b", 1, 30.0)]
     df = spark.createDataFrame(rows, "s string, t int, v double")
