@@ -40,7 +40,7 @@ def percentiles(df: DataFrame, value: str, keys: list[str], ps: list[float]) ->
     return _between(df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1.0).alias("_w")), keys, ps, False)
 
 
-def _with_percentiles(df: DataFrame, value: str, keys: list[str], names: dict[str, float], *plain: Column) -> DataFrame:
+def with_percentiles(df: DataFrame, value: str, keys: list[str], names: dict[str, float], *plain: Column) -> DataFrame:
     """(keys, plain, names): aggregates and percentiles of groups."""
     found = percentiles(df, value, keys, list(names.values()))
     found = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(name) for name, p in names.items()])
@@ -50,7 +50,7 @@ def _with_percentiles(df: DataFrame, value: str, keys: list[str], names: dict[st
 
 def describe(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     x = F.col(value)
-    return _with_percentiles(df, value, keys, {"p25": 25, "median": 50, "p75": 75}, F.count(x).alias("n"), mean(x).alias("mean"), variance(x).alias("variance"), std_dev(x).alias("std_dev"))
+    return with_percentiles(df, value, keys, {"p25": 25, "median": 50, "p75": 75}, F.count(x).alias("n"), mean(x).alias("mean"), variance(x).alias("variance"), std_dev(x).alias("std_dev"))
 
 
 def require_weights(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def _between(rows: DataFrame, keys: list[str], ps: list[float], weighted: bool)
 
 def reservoir_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """p90, p50, p10 (the values exceeded with 90, 50 and 10 %) and mean."""
-    return _with_percentiles(df, value, keys, {"p90": 10, "p50": 50, "p10": 90}, mean(F.col(value)).alias("mean")).select(*keys, "p90", "p50", "p10", "mean")
+    return with_percentiles(df, value, keys, {"p90": 10, "p50": 50, "p10": 90}, mean(F.col(value)).alias("mean")).select(*keys, "p90", "p50", "p10", "mean")
 
 
 def aggregate(df: DataFrame, segment: str, trial: str, value: str, correlation: str = "independent") -> DataFrame:

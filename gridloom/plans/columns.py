@@ -30,16 +30,11 @@ FROM g GROUP BY l_returnflag, l_linestatus
 )
 def formula_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluate_formulas(table(spark, sf_dir, "lineitem"), FORMULA, {"k": 0.5, "cut": 25.0}, keep=["l_returnflag", "l_linestatus", "l_quantity"])
-    net = F.col("net")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"),
-        at_scale(stats.percentile(net, 10), 4).alias("p90"),
-        at_scale(stats.percentile(net, 50), 4).alias("p50"),
-        at_scale(stats.percentile(net, 90), 4).alias("p10"),
-        at_scale(F.avg(net), 3).alias("mean"),
-        at_scale(stats.weighted_mean(F.col("charge"), F.col("l_quantity")), 3).alias("weighted_charge"),
-        at_scale(F.avg("flag"), 6).alias("flag_ratio"),
-    )
+    keys = ["l_returnflag", "l_linestatus"]
+    plain = F.count("*").alias("n"), F.avg("net").alias("mean"), stats.weighted_mean(F.col("charge"), F.col("l_quantity")).alias("weighted_charge"), F.avg("flag").alias("flag_ratio")
+    found = stats.with_percentiles(rows, "net", keys, {"p90": 10, "p50": 50, "p10": 90}, *plain)
+    digits = {"p90": 4, "p50": 4, "p10": 4, "mean": 3, "weighted_charge": 3, "flag_ratio": 6}
+    return found.select(*keys, "n", *[at_scale(F.col(c), k).alias(c) for c, k in digits.items()])
 
 
 EDGES = """
